@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.plans import q_bars  # noqa: F401  registers its queries
+from tidemark.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
