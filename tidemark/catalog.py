@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import q_bars  # noqa: F401  registers its queries
+from tidemark.plans import q_backtest, q_bars, q_features  # noqa: F401  registers its queries
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
