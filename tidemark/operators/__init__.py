@@ -1 +1 @@
-
+"""Operators over bars, labels and predictions."""
