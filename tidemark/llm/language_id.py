@@ -60,9 +60,9 @@ class TextModel:
     logs: np.ndarray  # languages by hashed trigrams
 
     def likelihood(self, text: str) -> list[float] | None:
-        """Tempered log-likelihood per language, best 0; None without a letter."""
+        """Tempered log-likelihood per language, best 0; None without a letter, or if no language is known."""
         grams = trigrams(text)
-        if not len(grams):
+        if not len(grams) or not self.languages:
             return None
         mean = self.logs[:, grams].mean(axis=1)
         total = mean * min(len(grams), TEMPER)
