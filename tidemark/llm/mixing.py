@@ -140,14 +140,14 @@ def repeat(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document of which the mix takes nothing goes. A copy that is cut has its own n_chars. doc_id must be unique or null here, as the
     stage before leaves it.
     """
-    plan = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "whole", "size", "from1", "to1", "from2", "to2")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).drop("_id")
-    names = docs.columns
+    names, fields = docs.columns, ("whole", "size", "from1", "to1", "from2", "to2")
+    plan = mix(docs).where("taken > 0").select(F.col("doc_id").alias("__mix_id"), *[F.col(c).alias(f"__mix_{c}") for c in fields])
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__mix_id"])).drop("__mix_id")
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.select(["whole", "size", "from1", "to1", "from2", "to2"]).to_pylist()
+            rows = [{c: r[f"__mix_{c}"] for c in fields} for r in batch.select([f"__mix_{c}" for c in fields]).to_pylist()]
             part = batch.select(names)
             for k in range(max((r["whole"] for r in rows), default=0)):
                 yield part.filter(pa.array([r["whole"] > k for r in rows]))
