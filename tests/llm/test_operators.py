@@ -1,0 +1,446 @@
+"""Each operator against brute force, and on awkward and empty tables."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, components, fingerprints, language_id, licenses, lm_scoring, mixing, near_dedup, packing, registry, sharding, topk, toxicity
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# 1
+
+
+def brute_top(vectors, queries, k):
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    out = []
+    for q in queries:
+        if q in whole:
+            best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bins", [4, 1024])
+def test_topk(spark, monkeypatch, bins):
+    monkeypatch.setattr(topk, "BINS", bins)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rng = random.Random(2)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    vectors += [(100 + i, vectors[0][1]) for i in range(12)] + [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [float("inf")] * 4), (204, [1.0, 2.0]), (210, [0.5, 0.25])]
+    df = spark.createDataFrame([(*v, 1, "x") for v in vectors], "vec_id long, embedding array<float>, rank int, score string").repartition(4)
+    single = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(topk.search(df.where("vec_id % 10 = 0"), df)))
+    assert got == brute_top(single, [i for i, _ in vectors if i % 10 == 0], 5)
+
+
+def test_topk_empty(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.search(df, df).count() == 0
+
+
+def test_topk_exact_for_large_values():
+    a, b = np.array([[float(1 << 40), 1.0]]), np.array([[float(1 << 20), 3.0]])
+    assert topk.inner(a, b).tolist() == [[(1 << 60) + 3]]
+
+
+# 2
+
+
+def test_fingerprint_rows(spark, odd, none, monkeypatch, tmp_path):
+    got = rows(fingerprints.with_next(odd).mapInArrow(fingerprints._described, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
+    docs = sorted(((r["doc_id"], r["text"] or "") for r in rows(odd.select("doc_id", "text"))), key=lambda r: -(r[0] if r[0] is not None else -(1 << 63)))
+    want = collections.Counter()
+    for i, (doc_id, t) in enumerate(docs):
+        after = docs[(i + 1) % len(docs)][1]
+        e = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        want[doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.fingerprint(t).hex(), fingerprints.fingerprint(e).hex()] += 1
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got) == want
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert fingerprints.with_next(none).count() == 0
+
+
+def test_fingerprint_tells_edits_from_strangers(spark, sf):
+    got = rows(fingerprints.query(spark, sf))
+    assert sum(r["near_edited"] > r["near_next"] for r in got) > 0.97 * len(got)
+
+
+@pytest.mark.parametrize("bits, radius, blocks", [(64, 3, None), (64, 3, 6), (128, 2, None)])
+def test_neighbours(spark, bits, radius, blocks):
+    rng = random.Random(3)
+    values = [rng.getrandbits(bits) for _ in range(30)]
+    for v in list(values):
+        for _ in range(4):
+            values.append(v ^ sum(1 << b for b in rng.sample(range(bits), rng.randint(0, radius + 2))))
+    prints = sorted({f"{v:0{bits // 4}x}" for v in values})
+    want = {(a, b) for a, b in itertools.combinations(prints, 2) if (int(a, 16) ^ int(b, 16)).bit_count() <= radius}
+    df = spark.createDataFrame([(p,) for p in prints * 2], "fingerprint string")
+    assert {(r["a"], r["b"]) for r in rows(fingerprints.neighbours(df, radius, blocks))} == want
+
+
+# 3
+
+
+def check_packed(df, pieces, length):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(packing.tokenizer_path())
+    tk.encode_special_tokens = False
+    want = collections.Counter()
+    for r in rows(df.select("doc_id", "text")):
+        want[r["doc_id"], np.array([*tk.encode(r["text"] or "", add_special_tokens=False).ids, packing.END_ID], "<u4").tobytes()] += 1
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for p in rows(pieces):
+        assert p["length"] * 4 == len(p["ids"])
+        by_doc[p["doc_id"], p["doc_tokens"]].append(p)
+        by_sequence[p["sequence_id"]].append(p)
+    for own in by_sequence.values():
+        own.sort(key=lambda p: p["offset"])
+        assert [p["offset"] for p in own] == [0, *np.cumsum([p["length"] for p in own])[:-1]] and sum(p["length"] for p in own) <= length
+    sizes = [sum(p["length"] for p in own) for own in by_sequence.values()]
+    assert sum(0 if n & (n - 1) == 0 else length - n for n in sizes) == 0
+    spare = collections.Counter()
+    for (doc_id, ids), n in want.items():
+        own = by_doc[doc_id, len(ids) // 4]
+        got = collections.Counter((p["start"], bytes(p["ids"])) for p in own)
+        covered = sum(len(b) * k for (s, b), k in got.items() if ids[4 * s : 4 * s + len(b)] == b)
+        assert covered >= n * len(ids)
+        spare[doc_id] += n * len(ids)
+    assert sum(spare.values()) == sum(4 * p["length"] for own in by_doc.values() for p in own)
+
+
+def test_packing(odd, none):
+    for length in (64, 4096):
+        check_packed(odd, packing.pack(odd, length=length, open_windows=4), length)
+    assert packing.pack(none).count() == 0
+
+
+def test_windows_are_bounded():
+    rng, windows = random.Random(4), packing.Windows(100, 3)
+    done = []
+    for d in range(500):
+        done += list(windows.add(d, bytes(4 * rng.randint(1, 99))))
+        assert len(windows.held) <= 3
+    full, rest = windows.merge()
+    assert all(sum(len(p[2]) for p in s) == 400 for s in [*done, *full])
+    assert all((sum(len(p[2]) // 4 for p in s) & (sum(len(p[2]) // 4 for p in s) - 1)) == 0 for s in packing.in_powers(rest))
+
+
+# 4
+
+
+def test_store(spark, odd, tmp_path):
+    store = sharding.Store(spark, f"file://{tmp_path}/s", target=60_000, fan_in=3)
+    for k in range(4):
+        store.append(odd.where(F.pmod(F.xxhash64("text"), F.lit(4)) == k))
+    first, before = store.version(), len(store.shards())
+    last = store.compact()
+    assert last > first and len(store.shards()) < before
+    key = lambda df: sorted(map(str, df.select(*odd.columns).collect()))
+    assert key(store.read()) == key(odd)
+    assert not store.plan(store.shards())
+    with pytest.raises(FileExistsError):
+        store._commit([], last - 1)
+    with pytest.raises(FileNotFoundError):
+        sharding.Store(spark, f"file://{tmp_path}/none").read()
+    empty = sharding.Store(spark, f"file://{tmp_path}/e")
+    empty.append(odd.limit(0))
+    assert empty.read().count() == 0 if empty.shards() else True
+
+
+# 5
+
+
+def test_targets():
+    got = mixing.targets({"a": 100, "b": 10, "c": 1000, None: 0}, {"a": 1, "b": 2, "c": 3, None: 1})
+    assert got["b"] == 30 and got[None] == 0 and sum(got.values()) == pytest.approx(1110) and got["c"] == pytest.approx(3 * got["a"])
+
+
+def test_apportion_is_highest_quotients():
+    rng = random.Random(6)
+    for _ in range(50):
+        votes = [rng.choice([0.0, rng.uniform(1, 50)]) for _ in range(6)] + [1.0]
+        limits, seats = [rng.randint(1, 40) for _ in votes], rng.randint(0, 60)
+        want = [0] * len(votes)
+        for _ in range(min(seats, sum(n for v, n in zip(votes, limits, strict=True) if v))):
+            i = max((i for i in range(len(votes)) if want[i] < limits[i] and votes[i] > 0), key=lambda i: (votes[i] / (2 * want[i] + 1), -i))
+            want[i] += 1
+        got = mixing.apportion(votes, sum(want), limits)
+        assert sum(got) == sum(want) and got == want
+
+
+def test_mix(odd, none):
+    got = rows(mixing.mix(odd, block=4))
+    assert len(got) == odd.count()
+    size = {(r["doc_id"], common.word_count(r["text"])) for r in rows(odd.select("doc_id", "text"))}
+    assert {(r["doc_id"], r["size"]) for r in got} == size and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["source"]].append(r)
+    for own in by.values():
+        assert own[0]["source_size"] == sum(r["size"] for r in own) and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 16
+    key = lambda xs: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in xs)
+    assert key(rows(mixing.mix(odd.repartition(7), block=4))) == key(got)
+    assert mixing.mix(none).count() == 0
+
+
+def test_mix_stage(spark, odd, sf):
+    one = odd.dropDuplicates(["doc_id"])
+    out = mixing.repeat(spark, one, sf)
+    assert out.dtypes == one.dtypes
+    taken = {r["doc_id"]: r["taken"] for r in rows(mixing.mix(one))}
+    got, texts = collections.Counter(), {r["doc_id"]: r["text"] for r in rows(one)}
+    for r in rows(out):
+        got[r["doc_id"]] += common.word_count(r["text"])
+        assert r["text"] in texts[r["doc_id"]]
+    assert got == +collections.Counter(taken)
+
+
+# 6
+
+
+def brute_components(docs):
+    prints = [(i, near_dedup.fingerprint(t)) for i, t in docs]
+    root = {f: f for _, f in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(root, 2):
+        if (a ^ b).bit_count() <= 2:
+            root[find(a)] = find(b)
+    least = collections.defaultdict(list)
+    for i, f in prints:
+        if i is not None:
+            least[find(f)].append(i)
+    return sorted((str(i), f, min(least[find(f)], default=None)) for i, f in prints)
+
+
+def test_near_dedup(odd, none, documents):
+    for df in (odd, documents):
+        got = sorted((str(r["doc_id"]), r["fp"] % (1 << 64), r["component_id"]) for r in rows(near_dedup.near_duplicates(df)))
+        assert got == brute_components([(r["doc_id"], r["text"]) for r in rows(df.select("doc_id", "text"))])
+    assert near_dedup.near_duplicates(none).count() == 0
+
+
+def test_fingerprint_definition():
+    words = "Some words OF a text, and some more words".lower().split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert near_dedup.fingerprint("Some words OF a text,\tand some more words") == want
+    assert near_dedup.fingerprint("two Words") == xxhash.xxh64_intdigest("two words", 42) and near_dedup.fingerprint(None) == near_dedup.fingerprint(" \n") == 0
+
+
+def test_posting_lists():
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    members = np.array(sorted({base ^ sum(1 << b for b in rng.sample(range(16), rng.randint(0, 6))) for _ in range(300)}), dtype=np.uint64)
+    for part in (members, members[:10]):
+        root = {m: m for m in part.tolist()}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        mine = dict(root)
+        for a, b in itertools.combinations(part.tolist(), 2):
+            if (a ^ b).bit_count() <= 2:
+                root[find(a)] = find(b)
+        for a, b in near_dedup.link_list(part):
+            assert find(a) == find(b)
+            mine[b] = a
+        group = lambda r, x: x if r[x] == x else group(r, r[x])
+        assert len({group(mine, m) for m in part.tolist()}) == len({find(m) for m in part.tolist()})
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randint(-40, 40), rng.randint(-40, 40)) for _ in range(45)] + [(1000 + i, 1001 + i) for i in range(30)]
+    got = {r["node"]: r["root"] for r in rows(components.roots(spark, spark.createDataFrame(edges, "u long, v long")))}
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: r for x, r in root.items() if x in linked}
+
+
+def test_keep_one(spark, odd, sf):
+    out = near_dedup.keep_one(spark, odd, sf)
+    ids = [r["doc_id"] for r in rows(out)]
+    assert out.dtypes == odd.dtypes and len(ids) == len(set(ids))
+    assert {c for _, _, c in brute_components([(r["doc_id"], r["text"]) for r in rows(odd)])} == set(ids)
+
+
+# 7
+
+
+def test_language_id(spark, odd, none, sf):
+    got = rows(language_id.query(spark, sf))
+    assert sum(r["language"] == r["declared"] for r in got) > 0.95 * len(got) and len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
+    model = language_id.fit_text(common.table(spark, sf, "documents"))
+    as_rows = lambda df: df.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
+    found = rows(language_id.identify(as_rows(odd), model))
+    assert len(found) == odd.count() and {r["language"] for r in found if r["doc_id"] in (100, 101, 102)} == {"und"}
+    assert language_id.identify(as_rows(none), model).count() == 0
+    assert {r["language"] for r in rows(language_id.identify(as_rows(odd), language_id.fit_text(none)))} == {"und"}
+
+
+def test_language_evidence_decides_ties():
+    even, has = np.zeros((3, 2)), np.array([True] * 3)
+    sums = {k: np.array([[3.0, 1.0]] * 3) for k in ("host", "domain", "suffix")} | {"declared": np.array([[0.5, 9.5], [9.5, 0.5], [5.0, 5.0]])}
+    p = language_id.posteriors(even, has, sums, np.array([10.0, 10.0]), {"declared": 2, "suffix": 2})
+    assert p[0, 1] > 0.5 and p[1, 0] > 0.9 and p[2, 0] > 0.5 and np.allclose(p.sum(axis=1), 1)
+
+
+def test_language_stage(spark, odd, documents, sf):
+    kept = language_id.keep_identified(spark, odd, sf)
+    assert kept.dtypes == odd.dtypes and not {100, 101, 102} & {r["doc_id"] for r in rows(kept)}
+    assert language_id.keep_identified(spark, documents, sf).count() == documents.count()
+
+
+def test_visible():
+    assert language_id.visible("<html><script>var a='<p>';</script><p>caf&eacute;<!-- no --> b</p>").split() == ["café", "b"] and language_id.visible(None) == ""
+
+
+# 8
+
+
+def test_toxicity(spark, odd, none, labels):
+    machine = toxicity.fit(odd, labels)
+    got = rows(toxicity.score(odd, machine))
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.score(none, machine).count() == 0
+    blank = rows(toxicity.score(odd, toxicity.fit(odd, labels.limit(0))))
+    assert {round(r["score"], 3) for r in blank} == {0.0}
+
+
+def test_toxicity_learns_pairs():
+    rng = random.Random(10)
+    data = [(sorted({a, b}), float(a == 0 and b == 1)) for a, b in ((rng.choice([0, 2]), rng.choice([1, 3])) for _ in range(400))]
+    machine = toxicity.fit_machine([r for r, _ in data], np.array([y for _, y in data]), {i: i for i in range(4)}, steps=600, l2=1e-5)
+    raw = lambda t: machine.bias + machine.weights[t].sum() + 0.5 * ((machine.vectors[t].sum(axis=0) ** 2).sum() - (machine.vectors[t] ** 2).sum())
+    assert raw([0, 1]) > 0 > max(raw([0, 3]), raw([2, 1]), raw([2, 3]))
+
+
+def test_toxicity_held_out(spark, documents, sf):
+    got = {r["doc_id"]: r for r in rows(toxicity.query(spark, sf))}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7) for i, r in got.items())
+
+
+def test_terms_are_the_same_in_pieces(monkeypatch):
+    texts = ["Some idiot! wrote   a_b,c", None, "", "x" * 50, "ÀÉ éa " * 40]
+    want = [toxicity.terms_of([t])[1].tolist() for t in texts]
+    row, bucket = toxicity.terms_of(texts)
+    assert [bucket[row == i].tolist() for i in range(len(texts))] == want
+    monkeypatch.setattr(toxicity, "PIECE", 60)
+    row, bucket = toxicity.terms_of(texts)
+    assert [bucket[row == i].tolist() for i in range(len(texts))] == want
+
+
+# 9
+
+
+def test_licenses(odd, none):
+    got = {r["doc_id"]: r for r in rows(licenses.scan(odd))}
+    assert got[108]["licenses"] == "MIT" and got[100]["n_sentences"] == 0 and len(rows(licenses.scan(odd))) == odd.count()
+    assert licenses.scan(none).count() == 0
+
+
+def test_license_rules():
+    known = licenses.known_sentences()
+    text = "\n".join([licenses.BODIES["mit.grant"], "Words in between.", licenses.BODIES["mit.notice"], licenses.BODIES["mit.warranty"], "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."])
+    ids = [known.get(s) for s in licenses.sentences(text)]
+    assert [m[1] for m in licenses.match(ids)] == ["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0"]
+    assert licenses.match(["mit.grant", None, None, "mit.notice"])[0][0] == "mit.grant"
+    assert licenses.match(["mit.notice", "mit.warranty"]) == []
+
+
+# 10
+
+
+def brute_lm(docs):
+    split = {n: [*(w for w in common.words_of(t)), None] for n, (_, t) in enumerate(docs)}
+    train = [n for n, (i, _) in enumerate(docs) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two = collections.Counter(), collections.Counter()
+    for n in train:
+        one.update(split[n])
+        two.update(zip(["<s>", *split[n]], split[n], strict=False))
+    context = lambda w: one[None] if w == "<s>" else one[w]
+    total, words = sum(one.values()), len(one)
+    base = lambda w: (one[w] + 1) / (total + words + 1)
+    bucket = lambda c: math.frexp(c)[1] if c else 0
+    return split, train, one, two, context, total, base, bucket
+
+
+def test_lm(odd, none, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 300)
+    docs = [(r["doc_id"], r["text"]) for r in rows(odd.select("doc_id", "text"))]
+    split, train, one, two, context, total, base, bucket = brute_lm(docs)
+    pairs = collections.defaultdict(list)
+    for n in train:
+        for a, b in zip(["<s>", *split[n]], split[n], strict=False):
+            c = context(a)
+            pairs[bucket(c)].append(((two[a, b] - 1) / (c - 1) if c > 1 else 0.0, one[b] / (total + len(one))))
+    weight = {0: 0.0}
+    for k, xs in pairs.items():
+        x = 0.5
+        for _ in range(lm_scoring.ROUNDS):
+            x = min(max(sum(x * p / (x * p + (1 - x) * q) for p, q in xs) / len(xs), 1e-6), 1 - 1e-6)
+        weight[k] = x
+    got = collections.Counter()
+    for r in rows(lm_scoring.score(odd)):
+        got[r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)] += 1
+        n = next(n for n, (i, _) in enumerate(docs) if i == r["doc_id"])
+        exact = sum(math.log10(weight.get(bucket(context(a)), 0.0) * two[a, b] / max(context(a), 1) + (1 - weight.get(bucket(context(a)), 0.0)) * base(b)) for a, b in zip(["<s>", *split[n]], split[n], strict=False))
+        assert r["score"] == pytest.approx(exact, rel=0.01)
+    want = collections.Counter((i, len(split[n]), sum(one[w] > 0 for w in split[n]), total, round(sum(math.log10(base(w)) for w in split[n]), 5)) for n, (i, _) in enumerate(docs))
+    assert got == want
+    assert lm_scoring.score(none).count() == 0
+
+
+def test_lm_codec():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    assert (lm_scoring.keys_unpacked(lm_scoring.keys_packed(keys)) == keys).all()
+    for x in (np.arange(7, dtype="<u4"), np.zeros(0, dtype="<u8")):
+        assert (lm_scoring.unpacked(lm_scoring.packed(x), x.dtype.str) == x).all()
+
+
+# all
+
+
+def test_registered():
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_top_k_equals_sql(spark, sf, duck):
+    want = sorted(map(tuple, duck.sql(registry.oracle_sql()["op1_exact_top_k"]).fetchall()))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(registry.queries()["op1_exact_top_k"](spark, sf)))
+    names = duck.sql(registry.oracle_sql()["op1_exact_top_k"]).columns
+    assert got == sorted(tuple(dict(zip(names, w, strict=True))[c] for c in ("query_id", "rank", "vec_id", "score")) for w in want)
+
+
+def test_pipeline(spark, documents, sf):
+    import corpus_pipeline
+
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.dtypes == documents.dtypes, name
+        docs = spark.createDataFrame(out.collect(), documents.schema)
+    assert rows(corpus_pipeline.STAGES[-1][1](spark, docs, sf))
