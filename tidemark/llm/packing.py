@@ -6,8 +6,8 @@ and the rest of the piece opens a window in its place. At a task's end its windo
 are merged again by group, so no task gathers more than LEFTOVER_TASKS windows. What is then left is emitted as sequences whose
 lengths are powers of two, which need no padding.
 
-Ids come from a public tokenizer. Its words never cross a space or a line feed, so texts are cut there and each different word is
-encoded once while it is remembered (CACHED words at most).
+Ids come from a public tokenizer. Its pieces never cross a space or a line feed, nor the border of Latin letters and the marks behind
+them, so texts are cut there and each different part is encoded once while it is remembered (CACHED parts at most).
 
 Nulls and edge cases: a null text counts as empty and has the end id alone; a null doc_id is kept; repeated rows are packed each;
 an empty table gives no piece; a text of any length is packed whole.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-LENGTH, OPEN, LEFTOVER_TASKS, END_ID, CACHED = 4096, 64, 64, 2, 300_000
+LENGTH, OPEN, LEFTOVER_TASKS, END_ID, CACHED = 4096, 64, 64, 2, 800_000
 TOKENIZER = "word_bpe_49k.json"
 WIDTH = 4  # bytes of an id
 Piece = tuple[int | None, int, bytes, int]  # doc_id, start, ids, doc_tokens
@@ -41,26 +41,152 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+#: A word that is one id and stands between the parts that are encoded together; a part that holds it is encoded alone.
+BETWEEN, TOGETHER = "\x02", 256
+PIECE, LONG = 1 << 20, 64  # bytes that are cut at once; longest part that is known by its hash
+SPACE, LETTER, MARK, OTHER = range(4)
+KIND = np.array([SPACE if b in (10, 32) else LETTER if chr(b).isalpha() and b < 128 else MARK if 33 <= b <= 126 and chr(b) not in "'0123456789" else OTHER for b in range(256)], dtype=np.int8)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+
+
 class Encoder:
-    """Texts to little-endian 32-bit ids, without special tokens."""
+    """Texts to little-endian 32-bit ids, without special tokens.
+
+    Words are cut at spaces and line feeds. One of Latin letters with ASCII marks behind them (no apostrophe) is two parts, as the
+    tokenizer cuts there and lower-cases the letters; any other word is one part. Parts are found by array operations over the bytes.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        ids = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = ids[0] if len(ids) == 1 else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int | str, int] = {}  # hash of a simple part, or another part itself, to its number; number 0 has no ids
+        self.ids, self.used = np.zeros(1 << 20, dtype="<u4"), 0
+        self.begin, self.length, self.count = np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int64), 1
+
+    def _encoded(self, parts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each part: many in one text where they can be told apart again, as each call has its price."""
+        for at in range(0, len(parts), 64 * TOGETHER):
+            some = parts[at : at + 64 * TOGETHER]
+            groups = [some[k : k + TOGETHER] for k in range(0, len(some), TOGETHER)]
+            joined = [self.between is not None and not any(BETWEEN in p for p in g) for g in groups]
+            together = self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(g) if j else "" for g, j in zip(groups, joined, strict=True)], add_special_tokens=False)
+            for group, one, j in zip(groups, together, joined, strict=True):
+                ids = np.array(one.ids, dtype="<u4")
+                cuts = np.flatnonzero(ids == self.between) if j else []
+                if j and len(cuts) == len(group) - 1:
+                    begins = [0, *(cuts + 1).tolist()]
+                    yield from (ids[a:b] for a, b in zip(begins, [*cuts.tolist(), len(ids)], strict=True))
+                else:
+                    yield from (np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False))
+
+    def _learn(self, keys: list[int] | list[str], parts: list[str]) -> None:
+        for key, ids in zip(keys, self._encoded(parts), strict=True):
+            n = len(ids)
+            if self.used + n > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), n), dtype="<u4")])
+            if self.count == len(self.begin):
+                self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+            self.ids[self.used : self.used + n] = ids
+            self.begin[self.count], self.length[self.count] = self.used, n
+            self.place[key] = self.count
+            self.used, self.count = self.used + n, self.count + 1
+
+    def _numbers(self, at: np.ndarray, end: np.ndarray, low: bytes, sums: np.ndarray, downs: np.ndarray) -> np.ndarray:
+        """The number of each stretch of lower-cased bytes; new ones are encoded."""
+        hashes, first, place = np.unique(common.mix64((sums[end] - sums[at]) * downs[at] ^ ((end - at).astype(np.uint64) << np.uint64(57))), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        known = self.place
+        new = [i for i, k in enumerate(keys) if k not in known]
+        if new:
+            self._learn([keys[i] for i in new], [low[at[first[i]] : end[first[i]]].decode() for i in new])
+        return np.fromiter((known[k] for k in keys), dtype=np.int64, count=len(keys))[place]
+
+    def _piece(self, raw: bytes, starts: np.ndarray) -> list[bytes]:
+        """Ids of each of the texts that begin at starts; each but the last is followed by a line feed."""
+        data = np.frombuffer(raw, dtype=np.uint8)
+        kind = KIND[data]
+        pair = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))  # the letters of U+00C0 to U+00FF
+        kind[pair] = kind[pair + 1] = LETTER
+        low = LOWER[data]
+        upper = pair[data[pair + 1] <= 0x9E] + 1
+        low[upper] += 0x20
+        inside = np.r_[False, kind != SPACE, False]
+        at, end = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+        odd = kind == OTHER
+        odd[1:] |= (kind[1:] == LETTER) & (kind[:-1] == MARK)
+        odds, letters = np.r_[0, np.cumsum(odd)], np.r_[0, np.cumsum(kind == LETTER)]
+        simple = (odds[end] - odds[at] == 0) & (end - at <= LONG)
+        numbers = np.zeros((len(at), 2), dtype=np.int64)
+        ups, downs = powers(len(data) + 1)
+        sums = np.r_[np.uint64(0), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * ups[: len(low)], dtype=np.uint64)]
+        middle, text = at + letters[end] - letters[at], low.tobytes()
+        for slot, a, b in ((0, at, middle), (1, middle, end)):
+            some = np.flatnonzero(simple & (b > a))
+            if len(some):
+                numbers[some, slot] = self._numbers(a[some], b[some], text, sums, downs)
+        rest = np.flatnonzero(~simple)
+        if len(rest):
+            words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at[rest].tolist(), end[rest].tolist(), strict=True)]
+            new = list({w for w in words if w not in self.place})
+            self._learn(new, new)
+            numbers[rest, 0] = [self.place[w] for w in words]
+        flat = numbers.ravel()
+        length = self.length[flat]
+        upto = np.r_[0, np.cumsum(length)]
+        ids = self.ids[np.repeat(self.begin[flat] - upto[:-1], length) + np.arange(upto[-1])].tobytes()
+        cuts = upto[2 * np.searchsorted(at, np.r_[starts, len(data)])] * WIDTH
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {"": b""}
-        new = [w for w in set().union(*split) if w not in self.known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.known.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out: list[bytes] = []
+        held: list[bytes] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                if len(self.place) > CACHED:
+                    self.forget()
+                out.extend(self._piece(b"\n".join(held), np.cumsum([0, *(len(x) + 1 for x in held[:-1])])))
+            held, size = [], 0
+
+        for text in texts:
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            if size + len(raw) > PIECE:
+                flush()
+            if len(raw) > PIECE:
+                parts = []
+                while raw:
+                    cut = raw.rfind(b" ", 1, PIECE)
+                    cut = cut if cut > 0 and len(raw) > PIECE else raw.find(b" ", PIECE) if len(raw) > PIECE else len(raw)
+                    cut = len(raw) if cut < 0 else cut
+                    parts.append(self._piece(raw[:cut], np.zeros(1, dtype=np.int64))[0])
+                    raw = raw[cut:]
+                out.append(b"".join(parts))
+                continue
+            held.append(raw)
+            size += len(raw) + 1
+        flush()
+        return out
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x9E3779B97F4A7C15
+    ups, downs = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
+    ups[0] = downs[0] = 1
+    return np.cumprod(ups, dtype=np.uint64), np.cumprod(downs, dtype=np.uint64)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(max(PIECE + 2, 1 << n.bit_length()) if n > PIECE + 2 else PIECE + 2)
 
 
 @lru_cache(maxsize=2)
@@ -169,7 +295,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, open_wi
         first, done, size = task << 32, [], 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at, texts in common.texts_of(batch.column(1), 64):
+            for at, texts in common.texts_of(batch.column(1), 256):
                 for doc_id, raw in zip(ids[at : at + len(texts)], encode(texts), strict=True):
                     for full in windows.add(doc_id, raw + end):
                         done.append((first + size, full))
