@@ -92,3 +92,21 @@ def circular_shift(df: DataFrame, column: str, by: int, name: str) -> DataFrame:
     x = df.withColumns({"_k": F.row_number().over(w()) - 1, "_n": F.count("*").over(all_)})
     side = x.select("symbol", F.pmod(F.col("_k") + by, F.col("_n")).alias("_k"), F.col(column).alias(name))
     return x.join(side, ["symbol", "_k"]).drop("_k", "_n")
+
+
+def efficiency_gate(n: int, reference: int, p: float = 0.5) -> dict[str, Column]:
+    """Net move over path, and whether it reaches the given quantile of its own past."""
+    path = X.rolling("sum", "absr", n)
+    ratio = F.abs(F.ln(F.col("close") / F.lag("close", n).over(w()))) / F.nullif(path, F.lit(0.0))
+    return {"ratio": ratio, "gate": F.coalesce(F.col("ratio") >= X.rolling_quantile("ratio", reference, p), F.lit(False))}
+
+
+def jump_exclusion(moves: DataFrame, share: float = 0.8) -> DataFrame:
+    """(symbol, week, jump, kept): a week's largest squared move over their sum, and whether it is within the week's quantile.
+
+    moves: symbol, ts, r.
+    """
+    week = F.date_trunc("week", "ts").cast("timestamp_ntz")
+    own = moves.where("r IS NOT NULL").groupBy("symbol", week.alias("week")).agg((F.max(F.col("r") * F.col("r")) / F.nullif(F.sum(F.col("r") * F.col("r")), F.lit(0.0))).alias("jump"))
+    cut = own.groupBy("week").agg(F.percentile("jump", F.lit(share)).alias("_cut"))
+    return own.join(cut, "week").select("symbol", "week", "jump", (F.col("jump") <= F.col("_cut")).alias("kept"))

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import accounts as A
 from tidemark.operators import engine as G
+from tidemark.operators import models as ML
 from tidemark.operators import patterns as N
+from tidemark.operators import portfolio as P
 from tidemark.operators.grid import w
 from tidemark.plans import sql as Q
 from tidemark.plans.q_bars import _w
 from tidemark.plans.q_backtest import _SIM, _sim
 from tidemark.plans.registry import query, rounded
+from tidemark.sources import synthetic
 from tidemark.sources import tables as S
 
 _NOW = "TIMESTAMP '2024-01-20 00:00:00'"
@@ -142,3 +145,31 @@ def har_volatility(spark, sf):
 def qlike_loss(spark, sf):
     v = S.daily(spark, sf).select("symbol", "ts", (F.pow(F.ln("close") - F.ln("open"), 2.0) + 1e-6).alias("v")).withColumn("p", F.lag("v").over(w())).where("p IS NOT NULL")
     return rounded(v.groupBy("symbol").agg(F.count("*").alias("n"), (F.avg(N.qlike(F.col("v"), F.col("p"))) / 1e6).alias("qlike")))
+
+
+_F20, _F60 = ("OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN %d PRECEDING AND CURRENT ROW)" % n for n in (19, 59))
+
+
+@query(f"""WITH {Q.DAILY}, x AS (SELECT *, abs(ln(close) - ln(lag(close) {_w})) AS absr FROM o), y AS (SELECT symbol, ts, abs(ln(close / lag(close, 20) {_w})) / nullif(CASE WHEN count(absr) {_F20} >= 20 THEN sum(absr) {_F20} END, 0) AS ratio FROM x)
+SELECT symbol, ts, round(ratio, 6) AS ratio, coalesce(ratio >= CASE WHEN count(ratio) {_F60} >= 60 THEN quantile_cont(ratio, 0.5) {_F60} END, false) AS gate FROM y""")
+def efficiency_gate(spark, sf):
+    o = S.daily(spark, sf).withColumn("absr", F.abs(F.ln("close") - F.ln(F.lag("close").over(w()))))
+    g = P.efficiency_gate(20, 60)
+    return rounded(o.withColumn("ratio", g["ratio"]).select("symbol", "ts", "ratio", g["gate"].alias("gate")))
+
+
+@query(f"""WITH {Q.HOURLY}, r AS (SELECT symbol, ts, ln(close) - ln(lag(close) {_w}) AS r FROM e), j AS (SELECT symbol, date_trunc('week', ts) AS week, max(r * r) / sum(r * r) AS jump FROM r WHERE r IS NOT NULL GROUP BY 1, 2)
+SELECT symbol, week, round(jump, 6) AS jump, jump <= quantile_cont(jump, 0.8) OVER (PARTITION BY week) AS kept FROM j""")
+def jump_exclusion(spark, sf):
+    r = S.hourly(spark, sf).select("symbol", "ts", (F.ln("close") - F.ln(F.lag("close").over(w()))).alias("r"))
+    return rounded(P.jump_exclusion(r))
+
+
+@query()
+def synthetic_candles(spark, sf):
+    return synthetic.candles(spark, 500)
+
+
+@query()
+def calibration_slope(spark, sf):
+    return spark.createDataFrame([ML.calibration_slope(S.labelled(spark, sf))], "slope double, intercept double")
