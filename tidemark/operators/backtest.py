@@ -167,3 +167,34 @@ def fold_members(df: DataFrame, folds: DataFrame, embargo: str) -> DataFrame:
     fit = (F.col("ts") < F.col("v_start") - gap) & (F.col("label_end") < F.col("v_start"))
     final = F.when(F.col("part") == "test", "test").when(F.col("ts") >= F.col("v_start"), "valid").when(fit, "fit")
     return both.withColumn("part", final).where("part IS NOT NULL").select("fold", "part", "v_start", "test_start", *df.columns)
+
+
+def cost_table(spark: SparkSession, minutes: int) -> DataFrame:
+    """(cost, allow_short, fee, holding) of every cost model: a handful of rows."""
+    return spark.createDataFrame([(n, s, f / 1e4, x / 1e4 * minutes / 480) for n, (f, x, s) in COSTS.items()], "cost_model string, allow_short boolean, fee double, holding double")
+
+
+def landscape(rows: DataFrame, minutes: dict[str, int]) -> DataFrame:
+    """Trades, mean net and hit rate for each horizon and cost model. rows: symbol, pos, horizon, fwd_ret.
+
+    Each traded row is charged a full round trip; it meets the handful of cost models in a broadcast join.
+    """
+    spark = rows.sparkSession
+    costs = None
+    for horizon, m in minutes.items():
+        one = cost_table(spark, m).withColumn("horizon", F.lit(horizon))
+        costs = one if costs is None else costs.unionByName(one)
+    impact = F.when(F.col("cost_model") == "zero_cost", 0.0).otherwise(OTHER_IMPACT / 1e4)
+    x = rows.where("pos <> 0 AND fwd_ret IS NOT NULL").join(F.broadcast(costs), "horizon").where(F.col("allow_short") | (F.col("pos") > 0))
+    net = F.col("pos") * F.col("fwd_ret") - 2 * (F.col("fee") + impact) - F.when(F.col("pos") > 0, F.col("holding")).otherwise(0.0)
+    return x.withColumn("net", net).groupBy("horizon", "cost_model").agg(F.count("*").alias("n"), (F.avg("net") * 1e4).alias("net_bps"), F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"))
+
+
+def evidence(trades_: DataFrame, least: int = 30, z: float = 1.6448536269514722) -> DataFrame:
+    """Per symbol: trades, mean, day-clustered z and whether the evidence holds. trades_: symbol, ts, net."""
+    days = trades_.groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(F.sum("net").alias("s"), F.count("*").alias("c"))
+    a = days.groupBy("symbol").agg(F.sum("c").alias("n"), F.sum("s").alias("sum"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("c")).alias("sc"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+    m = F.col("sum") / F.col("n")
+    se = F.sqrt(F.col("k") / (F.col("k") - 1) * F.greatest(F.col("ss") - 2 * m * F.col("sc") + m * m * F.col("cc"), F.lit(0.0))) / F.col("n")
+    out = a.where("k > 1").select("symbol", "n", m.alias("mean"), (m / F.nullif(se, F.lit(0.0))).alias("z"))
+    return out.withColumn("passed", F.coalesce((F.col("n") >= least) & (F.col("mean") > 0) & (F.col("z") > z), F.lit(False)))

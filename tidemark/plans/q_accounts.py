@@ -6,10 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import accounts as A
+from tidemark.operators import backtest as B
 from tidemark.operators import engine as G
+from tidemark.operators import labels as L
 from tidemark.operators import models as ML
 from tidemark.operators import patterns as N
 from tidemark.operators import portfolio as P
+from tidemark.operators import state as T
 from tidemark.operators.grid import w
 from tidemark.plans import sql as Q
 from tidemark.plans.q_bars import _w
@@ -62,8 +65,6 @@ def account_rebalance(spark, sf):
 
 @query(f"{_SIM}, i AS (SELECT *, coalesce(lag(pos) {_w}, 0) AS b FROM sim), j AS (SELECT *, sum((pos <> 0 AND pos <> b)::INT) {_w} AS run FROM i), t AS (SELECT symbol AS config, run, sum(net) AS net, sum(cost) AS fee FROM j WHERE pos <> 0 OR b <> 0 GROUP BY 1, 2) SELECT config, count(*) AS trades, count(*) FILTER (net > 0) AS wins, round(sum(net), 6) AS net FROM t GROUP BY config")
 def config_stats(spark, sf):
-    from tidemark.operators import state as T
-
     t = T.trades(_sim(spark, sf)).select(F.col("symbol").alias("config"), "net", F.lit(0.0).alias("fee"))
     return rounded(A.config_stats(t).select("config", "trades", "wins", "net"))
 
@@ -173,3 +174,41 @@ def synthetic_candles(spark, sf):
 @query()
 def calibration_slope(spark, sf):
     return spark.createDataFrame([ML.calibration_slope(S.labelled(spark, sf))], "slope double, intercept double")
+
+
+_FILLS = f"""WITH {Q.HOURLY}, f AS (SELECT *, ln(coalesce(CASE WHEN volume > 0 AND quote_volume / volume BETWEEN low * 0.999 AND high * 1.001 THEN quote_volume / volume END, close)) AS fill, ln(close) - ln(lag(close) {_w}) AS c FROM e),
+ p AS (SELECT symbol, ts, fill, CASE WHEN c < -0.5 THEN 1 WHEN c > 0.5 THEN -1 ELSE 0 END AS pos FROM f), r AS (SELECT p.symbol, p.ts, h.h, p.pos, x.fill - n.fill AS r FROM (p CROSS JOIN (VALUES (1), (4), (12)) h(h)) JOIN f n ON n.symbol = p.symbol AND n.ts = p.ts + INTERVAL 1 HOUR JOIN f x ON x.symbol = p.symbol AND x.ts = p.ts + to_hours(1 + h.h) WHERE pos <> 0),
+ m AS (SELECT * FROM (VALUES ('spot_taker', 10.0, 0.0, false, 3.0), ('spot_taker_bnb', 7.5, 0.0, false, 3.0), ('perp_taker', 5.0, 1.0, true, 3.0), ('perp_maker', 2.0, 1.0, true, 3.0), ('zero_cost', 0.0, 0.0, true, 0.0)) m(cost_model, fee, funding, short, impact)),
+ z AS (SELECT h || 'h' AS horizon, cost_model, pos * r - 2 * (fee + impact) / 1e4 - CASE WHEN pos > 0 THEN funding / 1e4 * h * 60 / 480 ELSE 0 END AS net FROM r, m WHERE short OR pos > 0)"""
+
+
+@query(f"{_FILLS} SELECT horizon, cost_model, count(*) AS n, round(avg(net) * 1e4, 3) AS net_bps, round(avg((net > 0)::INT), 6) AS hit_rate FROM z GROUP BY 1, 2")
+def study_landscape(spark, sf):
+    """Every horizon under every cost model, from one table of decisions."""
+    bars = S.hourly(spark, sf)
+    change = F.ln("close") - F.ln(F.lag("close").over(w()))
+    pos = bars.select("symbol", "ts", F.when(change < -0.5, 1).when(change > 0.5, -1).otherwise(0).alias("pos"))
+    rows = None
+    for h in (1, 4, 12):
+        one = pos.join(L.forward_returns(bars.select("symbol", "ts"), bars, f"{h} HOURS", "1 HOUR").select("symbol", "ts", "fwd_ret"), ["symbol", "ts"]).withColumn("horizon", F.lit(f"{h}h"))
+        rows = one if rows is None else rows.unionByName(one)
+    out = B.landscape(rows, {f"{h}h": h * 60 for h in (1, 4, 12)})
+    return out.select("horizon", "cost_model", "n", F.round("net_bps", 3).alias("net_bps"), F.round("hit_rate", 6).alias("hit_rate"))
+
+
+@query(f"""{_SIM}, i AS (SELECT *, coalesce(lag(pos) {_w}, 0) AS b FROM sim), j AS (SELECT *, sum((pos <> 0 AND pos <> b)::INT) {_w} AS run FROM i), t AS (SELECT symbol, run, min(ts) AS ts, sum(net) AS net FROM j WHERE pos <> 0 OR b <> 0 GROUP BY 1, 2),
+ d AS (SELECT symbol, date_trunc('day', ts) AS day, sum(net) AS s, count(*) AS c FROM t GROUP BY 1, 2), a AS (SELECT symbol, sum(c) AS n, sum(s) / sum(c) AS m, count(*) AS k FROM d GROUP BY symbol), v AS (SELECT a.symbol, any_value(n) AS n, any_value(m) AS m, sqrt(any_value(k) / (any_value(k) - 1) * sum(pow(s - m * c, 2))) / any_value(n) AS se FROM a JOIN d ON d.symbol = a.symbol GROUP BY a.symbol)
+SELECT symbol, CAST(n AS BIGINT) AS n, round(m, 6) AS mean, round(m / se, 5) AS z, n >= 30 AND m > 0 AND m / se > 1.6448536269514722 AS passed FROM v""")
+def evidence_gate(spark, sf):
+    e = B.evidence(T.trades(_sim(spark, sf)))
+    return e.select("symbol", "n", F.round("mean", 6).alias("mean"), F.round("z", 5).alias("z"), "passed")
+
+
+@query(f"""WITH {Q.HOURLY}, u AS (SELECT symbol, ts, close, 0 AS later FROM e WHERE ts < TIMESTAMP '2024-01-20' UNION ALL SELECT symbol, ts, open, 1 FROM e WHERE ts >= TIMESTAMP '2024-01-18') SELECT symbol, ts, round(last(close ORDER BY later), 6) AS p FROM u GROUP BY 1, 2""")
+def out_of_sample_history(spark, sf):
+    """Test predictions and those made after training, the later of two for one time."""
+    e = S.hourly(spark, sf)
+    cut = lambda t: F.lit(t).cast("timestamp_ntz")
+    test = e.where(F.col("ts") < cut("2024-01-20")).select("symbol", "ts", F.col("close").alias("p"), F.lit(0).alias("later"))
+    after = e.where(F.col("ts") >= cut("2024-01-18")).select("symbol", "ts", F.col("open").alias("p"), F.lit(1).alias("later"))
+    return rounded(test.unionByName(after).groupBy("symbol", "ts").agg(F.max_by("p", "later").alias("p")))
