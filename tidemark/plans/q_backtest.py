@@ -140,11 +140,11 @@ def trading_stats(spark, sf):
     return s.select([F.round(c, 5 if c in ("ev_bps", "sharpe_ann", "sortino_ann") else 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 
-@query(f"""{_SIM} SELECT CASE WHEN grouping(symbol) = 0 THEN symbol END AS symbol, CASE WHEN grouping(month(ts)) = 0 THEN CAST(month(ts) AS INTEGER) END AS month, CAST(grouping(symbol) * 2 + grouping(month(ts)) AS BIGINT) AS slice, count(*) AS n, CAST(sum((pos <> 0)::INT) AS BIGINT) AS active, round(sum(net), 6) AS net
+@query(f"""{_SIM} SELECT CASE WHEN grouping(symbol) = 0 THEN symbol END AS symbol, CASE WHEN grouping(month(ts)) = 0 THEN CAST(month(ts) AS DOUBLE) END AS month, CAST(grouping(symbol) * 2 + grouping(month(ts)) AS BIGINT) AS slice, count(*) AS n, CAST(sum((pos <> 0)::INT) AS BIGINT) AS active, round(sum(net), 6) AS net
 FROM sim GROUP BY GROUPING SETS ((symbol), (month(ts)), ())""")
 def grouping_sets_report(spark, sf):
     """Slices by symbol, by month and in total from one pass."""
-    _sim(spark, sf).withColumn("month", F.month("ts")).createOrReplaceTempView("tidemark_sim")
+    _sim(spark, sf).withColumn("month", F.month("ts").cast("double")).createOrReplaceTempView("tidemark_sim")
     return rounded(spark.sql("SELECT symbol, month, grouping_id(symbol, month) AS slice, count(*) AS n, count_if(pos <> 0) AS active, sum(net) AS net FROM tidemark_sim GROUP BY GROUPING SETS ((symbol), (month), ())"))
 
 

@@ -168,9 +168,9 @@ def forward_return(spark, sf):
     return rounded(L.forward_returns(bars.select("symbol", "ts"), bars, "4 HOURS", "1 HOUR"))
 
 
-@query(f"WITH {Q.DAILY} SELECT symbol, ts, CASE WHEN lead(close, 5) {_w} IS NOT NULL THEN (lead(close, 5) {_w} > close)::INT END AS target FROM o")
+@query(f"WITH {Q.DAILY} SELECT symbol, ts, CASE WHEN lead(close, 5) {_w} IS NOT NULL THEN (lead(close, 5) {_w} > close)::INT::DOUBLE END AS target FROM o")
 def direction_target(spark, sf):
-    return S.daily(spark, sf).select("symbol", "ts", L.direction_target(5).alias("target"))
+    return S.daily(spark, sf).select("symbol", "ts", L.direction_target(5).cast("double").alias("target"))
 
 
 @query(f"""WITH {Q.DAILY}, n AS (SELECT *, ln(close) AS lc, row_number() {_w} AS k, count(*) OVER (PARTITION BY symbol) AS m FROM o),
