@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-CHUNK_TOKENS, BYTES_PER_BUCKET = 2_000_000, 8 << 20
+CHUNK_TOKENS, BYTES_PER_BUCKET = 1_300_000, 6 << 20
 HELD_OUT_OF, HELD_OUT = 7, 2
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B6485EBCA6B)
 STEPS_PER_OCTAVE, OCTAVES, ROUNDS = 8, 48, 60
