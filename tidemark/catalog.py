@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import q_accounts, q_backtest, q_bars, q_features, q_live, q_stats  # noqa: F401  registers its queries
+from tidemark.plans import q_accounts, q_backtest, q_bars, q_features, q_live, q_stats, q_studies  # noqa: F401  registers its queries
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
