@@ -286,6 +286,15 @@ def test_keep_one(spark, odd, sf):
     assert {c for _, _, c in brute_components([(r["doc_id"], r["text"]) for r in rows(odd)])} == set(ids)
 
 
+def test_keep_one_of_null_and_repeated_ids(spark, sf):
+    rng = random.Random(3)
+    a, b, c, d, e = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(5)]
+    docs = spark.createDataFrame([(None, a, "x"), (None, b, "x"), (None, b, "y"), (5, c, "x"), (5, d, "x"), (5, d, "y"), (3, e, "x"), (5, e, "x"), (None, e, "x"), (None, c, "x")], "doc_id long, text string, lang string").repartition(3)
+    for stage in (near_dedup.keep_one,):
+        got = collections.Counter((r["doc_id"], r["text"]) for r in rows(stage(spark, docs, sf)))
+        assert got == {(None, a): 1, (None, b): 1, (5, c): 1, (5, d): 1, (3, e): 1}
+
+
 # 7
 
 

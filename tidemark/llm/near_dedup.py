@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, components
@@ -51,11 +51,13 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column is the text; the others stay as they are."""
     for batch in batches:
         out = np.empty(batch.num_rows, dtype=np.uint64)
-        for at, texts in common.texts_of(batch.column(1)):
+        *kept, column = batch.columns
+        for at, texts in common.texts_of(column):
             out[at : at + len(texts)] = [fingerprint(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(out.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,6 +145,13 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("bytes_kept", "key").mapInArrow(_linked, "u long, v long").distinct()
 
 
+def _roots(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """(fp, root): the least fingerprint reachable over links of at most two bits."""
+    distinct = prints.select("fp").distinct().checkpoint()
+    found = components.roots(spark, links(distinct))
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most two bits."""
     spark = common.prepare(docs.sparkSession)
@@ -162,13 +171,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_key() -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def one_per_component(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of docs per component: that of the smallest doc_id (null comes last), then of the smallest key.
+
+    named: (doc_id, key, root) of every row, key as by text_key(). Rows that agree in doc_id and text are of one component.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "count")).alias("first")
+    keep = named.groupBy("root", "doc_id", "key").count().groupBy("root").agg(first)
+    keep = keep.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_text"), F.col("first.count").alias("_n")).checkpoint()
+    keyed = docs.withColumn("_key", text_key())
+    same = lambda other: keyed["doc_id"].cast("long").eqNullSafe(other["_id"]) & (keyed["_key"] == other["_text"])
+    once, several = keep.where("_n = 1"), keep.where("_n > 1")
+    kept = keyed.join(once, same(once), "left_semi")
+    if not several.isEmpty():
+        kept = kept.unionByName(keyed.join(several, same(several), "left_semi").dropDuplicates(["doc_id", "_key"]))
+    return kept.drop("_key")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: of each component the document with the smallest doc_id stays; of rows with one doc_id, one."""
-    found = near_duplicates(docs)
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().checkpoint()
-    keep, several = ids.select(F.col("doc_id").alias("_keep")), ids.where("count > 1").select(F.col("doc_id").alias("_twice"))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
-    if several.isEmpty():
-        return kept
-    again = kept["doc_id"].eqNullSafe(several["_twice"])
-    return kept.join(several, again, "left_anti").unionByName(kept.join(several, again, "left_semi").dropDuplicates(["doc_id"]))
+    """Of each component exactly one row stays: that with the smallest doc_id."""
+    common.prepare(spark)
+    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").mapInArrow(_fingerprints, "doc_id long, key long, fp long").checkpoint()
+    return one_per_component(docs, prints.join(_roots(spark, prints), "fp").select("doc_id", "key", "root"))
