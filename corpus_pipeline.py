@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, language_id, mixing, near_dedup, packing, toxicity
+from tidemark.llm import common, language_id, mixing, packing, shingle_dedup, toxicity
 
 STAGES = [
     ("language_id", language_id.keep_identified),
     ("toxicity", toxicity.keep_clean),
-    ("near_dedup", near_dedup.keep_one),
+    ("near_dedup", shingle_dedup.keep_one),
     ("mixing", mixing.repeat),
     ("packing", packing.stage),
 ]

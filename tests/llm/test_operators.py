@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, components, fingerprints, language_id, licenses, lm_scoring, mixing, near_dedup, packing, registry, sharding, topk, toxicity
+import corpus_pipeline
+from tidemark.llm import common, components, fingerprints, language_id, licenses, lm_scoring, mixing, near_dedup, packing, registry, sharding, shingle_dedup, topk, toxicity
 
 
 def rows(df):
@@ -290,11 +291,47 @@ def test_keep_one_of_null_and_repeated_ids(spark, sf):
     rng = random.Random(3)
     a, b, c, d, e = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(5)]
     docs = spark.createDataFrame([(None, a, "x"), (None, b, "x"), (None, b, "y"), (5, c, "x"), (5, d, "x"), (5, d, "y"), (3, e, "x"), (5, e, "x"), (None, e, "x"), (None, c, "x")], "doc_id long, text string, lang string").repartition(3)
-    for stage in (near_dedup.keep_one,):
+    for stage in (near_dedup.keep_one, shingle_dedup.keep_one):
         got = collections.Counter((r["doc_id"], r["text"]) for r in rows(stage(spark, docs, sf)))
         assert got == {(None, a): 1, (None, b): 1, (5, c): 1, (5, d): 1, (3, e): 1}
 
 
+def test_pipeline_drops_near_copies_by_similarity(spark, sf):
+    """The stage against all pairs: five-word shingles, Jaccard at least 0.8, components of such links."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(40, 200))]
+        for changes in (0, 1, 1, 2, 3, 6):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), changes):
+                copy[at] = f"w{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    texts += ["one two", "One  two", "", None, "one two three four five", "one two three four five six"]
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(texts)))
+    for j, i in itertools.combinations(range(len(texts)), 2):
+        if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in rows(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf)))
+    assert got == sorted(set(root)) and len(got) < 50
+    assert len(rows(near_dedup.keep_one(spark, docs, sf))) > len(got)
+    assert shingle_dedup.keep_one(spark, docs.limit(0), sf).count() == 0
+
+
+def test_candidates_stay_in_line_with_members():
+    rng = np.random.default_rng(1)
+    marks = np.repeat(rng.integers(0, 256, (1, shingle_dedup.SIZE), dtype=np.uint8), 500, axis=0)
+    marks[np.arange(500), rng.integers(0, shingle_dedup.SIZE, 500)] = 0
+    found = list(shingle_dedup.candidates(marks))
+    assert len(found) <= 500 * shingle_dedup.MOST and {v for _, v, _ in found} == set(range(1, 500))
+
+
 # 7
 
 
