@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -416,6 +417,24 @@ def test_license_rules():
     assert licenses.match(["mit.notice", "mit.warranty"]) == []
 
 
+@pytest.mark.parametrize("prefix", ["", " * ", "# ", "// "])
+def test_wrapped_licences(prefix):
+    b = licenses.BODIES
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+    cases = {
+        "MIT": [b["mit.grant"], b["mit.notice"], b["mit.warranty"]],
+        "BSD-3-Clause": [b["bsd.redistribution"], "1. " + b["bsd.source"], "2. " + b["bsd.binary"], "3. " + b["bsd.endorse"]],
+        "Apache-2.0": [apache, "http://www.apache.org/licenses/LICENSE-2.0", b["apache.basis"]],
+        "GPL-2.0": [b["gnu.free2"], b["gnu.hope"]], "GPL-3.0": [b["gnu.free3"], b["gnu.hope"]], "LGPL-2.1": [b["gnu.lesser2"]], "AGPL-3.0": [b["gnu.affero3"]], "MPL-2.0": [b["mpl.terms"]], "ISC": [b["isc.grant"]],
+    }
+    known = licenses.known_sentences()
+    for licence, paragraphs in cases.items():
+        wrapped = "\n\n".join(textwrap.fill(p, 70) for p in paragraphs)
+        for text in ("\n".join(prefix + line for line in wrapped.split("\n")), " ".join(paragraphs)):
+            assert [m[1] for m in licenses.match([known.get(s) for s in licenses.sentences(text)])] == [licence], (licence, text)
+    assert licenses.sentences("One line\nand the next. End") == ["one line", "and the next", "end"]
+
+
 # 10
 
 

@@ -1,7 +1,8 @@
 """License scans (operator 9) by sentence rules.
 
-A text is cut into sentences at line feeds and after . ! ? with white space; a sentence is lower-cased and reduced to its letters and
-digits. Normalised sentences that are known have an identifier. A rule is an order of identifiers that stands for a licence; it
+A text is cut at line feeds and after . ! ? with white space, comment and list marks are left out, and what is left is lower-cased and
+reduced to its letters and digits. Pieces that follow each other and together are the longest known sentence are one sentence, however
+its lines are broken. Normalised sentences that are known have an identifier. A rule is an order of identifiers that stands for a licence; it
 matches where they follow each other with at most GAP other sentences in between. Longer rules are tried first, and a sentence
 counts for one match only.
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import product
 
 import pyarrow as pa
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 GAP = 1
-CUT = re.compile(r"\n+|(?<=[.!?])\s+")
+CUT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=following conditions:)\s+|(?<=conditions are met:)\s+", re.IGNORECASE)
+#: What a line or a piece may begin with: a comment mark, then a list mark.
+MARKS = re.compile(r"^\s*(?:(?:dnl|rem|REM)\s+)?[^\w(]*(?:(?:\(?\d{1,2}[.)]|\(?(?:[a-h]|[ivx]{1,4})\))(?:\s+|$))?")
 ALNUM = re.compile(r"[^\W_]+")
 # Names of licences by SPDX identifier.
 NAMES = {
@@ -63,6 +67,10 @@ BODIES = {
     "bsd.source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd.binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd.endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "gnu.lesser2": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "gnu.lesser3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gnu.affero3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl.terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "isc.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "reserved": "All rights reserved.",
 }
@@ -75,6 +83,12 @@ ORDERS = [
     ("apache2.basis", "Apache-2.0", ["notice.Apache-2.0", "apache.basis"]),
     ("gpl3.header", "GPL-3.0", ["gnu.free3", "gnu.hope"]),
     ("gpl2.header", "GPL-2.0", ["gnu.free2", "gnu.hope"]),
+    ("apache2.header", "Apache-2.0", ["apache.licensed", "apache.obtain"]),
+    ("apache2.grant", "Apache-2.0", ["apache.licensed"]),
+    ("lgpl2.grant", "LGPL-2.1", ["gnu.lesser2"]),
+    ("lgpl3.grant", "LGPL-3.0", ["gnu.lesser3"]),
+    ("agpl3.grant", "AGPL-3.0", ["gnu.affero3"]),
+    ("mpl2.grant", "MPL-2.0", ["mpl.terms"]),
     ("gpl3.grant", "GPL-3.0", ["gnu.free3"]),
     ("gpl2.grant", "GPL-2.0", ["gnu.free2"]),
     ("mit.grant", "MIT", ["mit.grant"]),
@@ -88,9 +102,24 @@ def normalised(sentence: str) -> str:
 
 
 def sentences(text: str | None) -> list[str]:
-    return [s for s in map(normalised, CUT.split(text)) if s] if text else []
-
-
+    """Pieces, with those joined that together are a known sentence; the longest counts."""
+    pieces = [s for s in (normalised(MARKS.sub("", p, count=1)) for p in CUT.split(text)) if s] if text else []
+    known, begun = known_sentences(), _begun()
+    out, at = [], 0
+    while at < len(pieces):
+        whole, end, joined = pieces[at], at + 1, pieces[at]
+        for k in range(at + 1, len(pieces)):
+            if joined not in begun:
+                break
+            joined = f"{joined} {pieces[k]}"
+            if joined in known:
+                whole, end = joined, k + 1
+        out.append(whole)
+        at = end
+    return out
+
+
+@cache
 def known_sentences() -> dict[str, str]:
     """Normalised sentence to identifier: licence texts, and notices built as thing, verb, joining words and name."""
     found = {normalised(s): k for k, s in BODIES.items()}
@@ -100,9 +129,26 @@ def known_sentences() -> dict[str, str]:
         for name in names:
             found.setdefault(normalised(f"SPDX-License-Identifier: {name}"), f"notice.{licence}")
             found.setdefault(normalised(f"License: {name}"), f"notice.{licence}")
+    for name in NAMES["Apache-2.0"]:
+        for thing, verb, join in product(THINGS, VERBS, JOINS):
+            notice = f'{thing} {verb} {join} {name} (the "License")'
+            found.setdefault(normalised(notice), "notice.Apache-2.0")
+            found.setdefault(normalised(f"{notice}; {BODIES['apache.comply']}"), "apache.licensed")
+    for scheme in ("http", "https"):
+        found.setdefault(normalised(f"{BODIES['apache.obtain']} {scheme}://www.apache.org/licenses/LICENSE-2.0"), "apache.obtain")
     return found
 
 
+@cache
+def _begun() -> set[str]:
+    """What known sentences begin with, cut between words."""
+    begun = set()
+    for sentence in known_sentences():
+        words = sentence.split(" ")
+        begun.update(" ".join(words[:n]) for n in range(1, len(words)))
+    return begun
+
+
 def match(identifiers: list[str | None], rules: list[tuple[str, str, list[str]]] = ORDERS, gap: int = GAP) -> list[tuple[str, str, int, int]]:
     """(rule, licence, first and last sentence) of each match, in order of sentences."""
     used: set[int] = set()
