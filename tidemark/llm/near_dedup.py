@@ -1,12 +1,16 @@
 """SimHash near-duplicates (operator 6): a byte-position inverted index with count filtering.
 
-A fingerprint has eight positional bytes. Two fingerprints within two bits differ in at most two bytes, so they share at least
-six positional bytes: that is the guaranteed minimum. A posting list per single byte would hold 1/256 of all rows, and its pairs
-would grow with the square of the corpus. The index is therefore keyed by every set of six positions with their bytes (28 sets):
-a pair meets in a list exactly if its tally of shared positional bytes reaches six, so the count filter is part of the key.
-Members of one list differ in two bytes only, hence a list holds at most 65,536 different fingerprints, whatever the corpus.
-Each list is linked by a union over true neighbours (at most two bits), which yields a star per local component: linear in the
-members, with no loss of connectivity. Copies never meet in a list, as only distinct fingerprints enter.
+A fingerprint has positional bytes. Two fingerprints of eight bytes within two bits differ in two bytes at most, so they share at
+least six: the guaranteed minimum. A posting list for each byte and position would hold 1/256 of all rows, and tallying all its pairs
+would grow with the square of the corpus. So a list is that of several positions at once with their bytes, chosen so that every pair
+that reaches the minimum meets: two differing bytes touch two of the four byte pairs, and the other two pairs are a list's key (six
+lists a fingerprint, of four bytes each). Within a list the shared positional bytes of each pair are tallied over all eight positions,
+pairs under six are dropped, and the rest is verified on its bits.
+
+Lists of over SHORT members are not paired off: they are cut again by all sets of six positions, where a pair meets exactly if its
+tally reaches six. Members of such a part differ in two bytes, so it holds at most 65,536 fingerprints, whatever the corpus, and the
+union over true neighbours gives a star per local component: linear in the members, no connectivity lost. Copies never meet in a
+list, as only distinct fingerprints enter.
 
 Nulls and edge cases: a null text counts as empty; empty texts have fingerprint zero and are linked like any other; a null
 doc_id takes part, never names a component unless its component has no other, and repeated rows are kept.
@@ -26,12 +30,23 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
-MIN_SHARED = 8 - RADIUS
-KEPT = list(combinations(range(8), MIN_SHARED))
-MASKS = np.array([sum(0xFF << (8 * p) for p in kept) for kept in KEPT], dtype=np.uint64)
-#: All changes of at most two of the 16 bits that are left free in a list.
+POSITIONS = BITS // 8
+MIN_SHARED = POSITIONS - RADIUS
+#: Positions of each list: two of the four byte pairs.
+LISTS = [(*a, *b) for a, b in combinations([(p, p + 1) for p in range(0, POSITIONS, 2)], 2)]
+PARTS = [sum(0xFF << (8 * p) for p in kept) for kept in combinations(range(POSITIONS), MIN_SHARED)]
+#: All changes of at most two of the 16 bits that are left free in a part of a list.
 FLIPS = np.array([1 << a for a in range(16)] + [(1 << a) | (1 << b) for a in range(16) for b in range(a)], dtype=np.int64)
-ROWS_OF_HASHES = 1 << 15
+ROWS_OF_HASHES, SHORT = 255, 32
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the rows of hashes (uint64, rows x words) set each bit; little-endian, so bit b of a word is its place b."""
+    total = np.zeros(hashes.shape[1] * 64, dtype=np.int64)
+    for at in range(0, len(hashes), ROWS_OF_HASHES):  # so many that a byte holds the count
+        part = np.ascontiguousarray(hashes[at : at + ROWS_OF_HASHES]).view(np.uint8)
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return total
 
 
 def fingerprint(text: str | None) -> int:
@@ -43,10 +58,10 @@ def fingerprint(text: str | None) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(words, words[1:], words[2:])))
-    total, n = np.zeros(BITS, dtype=np.int64), len(shingles)
-    for at in range(0, n, ROWS_OF_HASHES):
-        part = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles[at : at + ROWS_OF_HASHES]), dtype="<u8", count=min(ROWS_OF_HASHES, n - at))
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    n, total = len(shingles), np.zeros(BITS, dtype=np.int64)
+    for at in range(0, n, 1 << 15):
+        part = shingles[at : at + (1 << 15)]
+        total += votes(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), dtype="<u8", count=len(part)).reshape(-1, 1))
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
@@ -65,19 +80,58 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def link_list(members: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a star for each component of two or more within one posting list; members: distinct uint64 that share six bytes."""
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally of each pair of rows: positions at which both have the same byte (uint8, rows x positions)."""
+    return (a == b).sum(axis=1, dtype=np.uint8)
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches come sorted by their first column; the tables hold whole lists of it, so a list that goes on is carried over."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        start = int(np.searchsorted(key, key[-1]))
+        if held and (start or held[-1].column(0)[0].as_py() != key[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = []
+        elif start:
+            yield pa.Table.from_batches([batch.slice(0, start)])
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal keys."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return first, np.diff(np.r_[first, len(key)])
+
+
+def pairs_of(key: np.ndarray, length: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of all pairs within runs of at most `most`; length: that of each place's run."""
+    some = np.flatnonzero((length > 1) & (length <= most))
+    for d in range(1, int(length[some].max(initial=0))):
+        i = some[some + d < len(key)]
+        i = i[key[i] == key[i + d]]
+        if len(i):
+            yield i, i + d
+
+
+def near_pairs(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of places share MIN_SHARED positional bytes or more and then differ in RADIUS bits or fewer."""
+    marks = fp.view(np.uint8).reshape(-1, POSITIONS)
+    enough = shared_bytes(marks[i], marks[j]) >= MIN_SHARED
+    enough[enough] = np.bitwise_count(fp[i[enough]] ^ fp[j[enough]]) <= RADIUS
+    return enough
+
+
+def link_part(members: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a star for each component of two or more; members: distinct uint64 that share six bytes."""
     m = len(members)
-    if m <= 12:
-        values, root = members.tolist(), list(range(m))
-        for i in range(m):
-            for j in range(i):
-                if root[i] != root[j] and (values[i] ^ values[j]).bit_count() <= RADIUS:
-                    a, b = sorted((root[i], root[j]))
-                    root = [a if r == b else r for r in root]
-        return [(values[r], values[i]) for i, r in enumerate(root) if r != i]
     diff = int(np.bitwise_or.reduce(members ^ members[0]))
-    free = [8 * p for p in range(8) if (diff >> (8 * p)) & 0xFF]
+    free = [8 * p for p in range(POSITIONS) if (diff >> (8 * p)) & 0xFF]
     small = np.zeros(m, dtype=np.int64)
     for k, shift in enumerate(free):
         small |= ((members >> np.uint64(shift)) & np.uint64(0xFF)).astype(np.int64) << (8 * k)
@@ -102,54 +156,48 @@ def link_list(members: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(members[root[moved]].tolist(), members[moved].tolist(), strict=True))
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under its 28 keys. The key holds the six bytes; the set's number is mixed in where two bytes are free."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            fp = batch.column(0).slice(at, 4096).to_numpy().view(np.uint64)
-            kept = fp[:, None] & MASKS[None, :]
-            sets = np.broadcast_to(np.arange(len(KEPT), dtype=np.int8), kept.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(sets.ravel()), pa.array(kept.ravel().view(np.int64)), pa.array(np.repeat(fp, len(KEPT)).view(np.int64))], ["bytes_kept", "key", "fp"])
+def link_list(members: np.ndarray) -> list[tuple[int, int]]:
+    """Edges within one long list that keep its components; members: distinct uint64."""
+    edges = []
+    for mask in PARTS:
+        shared = members & np.uint64(mask)
+        order = np.argsort(shared, kind="stable")
+        sorted_, shared = members[order], shared[order]
+        first, length = runs(shared)
+        for i, j in pairs_of(shared, np.repeat(length, length), SHORT):
+            good = near_pairs(sorted_, i, j)
+            edges += zip(sorted_[i[good]].tolist(), sorted_[j[good]].tolist(), strict=True)
+        for a, n in zip(first[length > SHORT], length[length > SHORT], strict=True):
+            edges += link_part(sorted_[a : a + n])
+    return edges
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by list; a list that goes on in the next batch is carried over."""
-
-    def links(kind: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])])
-        length = np.diff(np.r_[first, len(key)])
-        several = length > 1
-        edges = [e for a, n in zip(first[several], length[several], strict=True) for e in link_list(fp[a : a + n])]
-        pairs = np.array(edges, dtype=np.uint64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["u", "v"])
-
-    kept: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-        now = [np.concatenate(x) for x in zip(kept, now, strict=True)] if kept else now
-        last = len(now[0]) - 1
-        start = int(np.flatnonzero(np.r_[True, (now[1][1:] != now[1][:-1]) | (now[0][1:] != now[0][:-1])])[-1]) if last else 0
-        if start:
-            yield links(*(x[:start] for x in now))
-        kept = [x[start:].copy() for x in now]
-    if kept:
-        yield links(*kept)
+    for table in whole_lists(batches):
+        key, fp = table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64)
+        first, length = runs(key)
+        found = []
+        for i, j in pairs_of(key, np.repeat(length, length), SHORT):
+            good = near_pairs(fp, i, j)
+            found.append(np.stack([fp[i[good]], fp[j[good]]], axis=1))
+        for a, n in zip(first[length > SHORT], length[length > SHORT], strict=True):
+            found.append(np.array(link_list(fp[a : a + n]), dtype=np.uint64).reshape(-1, 2))
+        pairs = np.concatenate([np.zeros((0, 2), dtype=np.uint64), *found]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
+
+
+def postings(rows: DataFrame, keys: list[Column], *columns: str) -> DataFrame:
+    """(list, columns): each row under its keys, lists whole and sorted within partitions. Keys of different lists may be equal."""
+    keyed = rows.select(F.posexplode(F.array(*keys)).alias("at", "key"), *columns)
+    # by hash: two lists that fall together cost a few tallies and change no result
+    return keyed.select(F.xxhash64("at", "key").alias("list"), *columns).repartition("list").sortWithinPartitions("list", columns[0])
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v): linked fingerprints out of a table of distinct ones; connectivity is that of all pairs within two bits."""
-    # two lists of one set are told apart by the key; the sets by bytes_kept
-    dealt = distinct.select("fp").mapInArrow(_postings, "bytes_kept byte, key long, fp long").repartition("bytes_kept", "key")
-    return dealt.sortWithinPartitions("bytes_kept", "key").mapInArrow(_linked, "u long, v long").distinct()
-
-
-def _roots(spark: SparkSession, prints: DataFrame) -> DataFrame:
-    """(fp, root): the least fingerprint reachable over links of at most two bits."""
-    distinct = prints.select("fp").distinct().checkpoint()
-    found = components.roots(spark, links(distinct))
-    return distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    masks = [sum(0xFF << (8 * p) for p in kept) for kept in LISTS]
+    keys = [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks]
+    return postings(distinct, keys, "fp").mapInArrow(_linked, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,10 +239,3 @@ def one_per_component(docs: DataFrame, named: DataFrame) -> DataFrame:
     if not several.isEmpty():
         kept = kept.unionByName(keyed.join(several, same(several), "left_semi").dropDuplicates(["doc_id", "_key"]))
     return kept.drop("_key")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component exactly one row stays: that with the smallest doc_id."""
-    common.prepare(spark)
-    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").mapInArrow(_fingerprints, "doc_id long, key long, fp long").checkpoint()
-    return one_per_component(docs, prints.join(_roots(spark, prints), "fp").select("doc_id", "key", "root"))
