@@ -1,20 +1,28 @@
-"""Near copies by shared word runs: the pipeline's near-copy stage.
+"""Near copies by shared word runs: the pipeline's near-copy stage, on operator 6's byte-position index.
 
-Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of at least 0.8. Candidates come from
-MinHash: 20 keys of four minima each, so that a pair of similarity s meets with probability 1 - (1 - s^4)^20: all but 3 in 100,000
-pairs at 0.8, fewer above. In a list of one key the 80 minima, a byte each, estimate the similarity. Pairs whose estimate is at least
-0.6 are verified on their shingles; what is linked is linked by its exact similarity.
+Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of at least 0.8. A text's fingerprint is
+the SimHash of that set in 320 bits, 40 positional bytes. At a similarity of 0.8 two fingerprints differ in about 47 bits and share
+about 11 positional bytes; strangers differ in 160 and share less than one.
 
-A list is worked off in order: each member in turn looks at those still in the pool, and a member leaves the pool when it has found one
-that is almost the same or eight that are near. Of what it finds the eight most alike are candidates. So a large group of
-near copies gives links in line with its members. Only texts that differ in a word enter; texts of the same words are one node.
+Index: the positions form ten groups of four, and a list is that of two positions of a group with their bytes (60 lists a text).
+By the pigeonhole principle a pair that shares eleven positional bytes or more is sure to meet; with fewer it meets if two of them are
+of one group. Within a list the shared positional bytes of each pair are tallied over all forty positions; a pair must reach
+MIN_SHARED and then differ in RADIUS bits or fewer. What is linked is linked by its exact similarity, on the shingles of whole texts.
 
-Nulls and edge cases: a null text counts as empty; texts under five words have one shingle, the whole text, and match exactly.
+Bounds: a list of over SHORT members is not paired off. Its members, in order of their hashes, look at the first HUBS, then the next, and
+a member with MOST candidates is done, so a large group of near copies gives links in line with its members; where over LONG are left
+after that, they are cut by pairs of positions so that every pair that reaches the minimum still meets. When these links are verified and
+their components known, an exact pass goes over the lists in which a member was done early: all candidate pairs whose ends are in
+different components are verified too. So no link is lost to MOST.
+
+Nulls and edge cases: a null text counts as empty; texts under five words have one shingle, the whole text, and match exactly; a null
+doc_id is one like any other, last in order; rows that repeat are copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +32,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common, components, near_dedup
 
-SHINGLE, SIMILAR, BANDS, ROWS, SEED = 5, 0.8, 20, 4, 42
-SIZE = BANDS * ROWS
-#: Equal bytes out of SIZE: to be verified, near, almost the same.
-LIKELY, NEAR, SAME, MOST = int(0.6 * SIZE), int(0.8 * SIZE), int(0.95 * SIZE), 8
-_random = np.random.default_rng(SEED)
-FACTORS = _random.integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _random.integers(0, 1 << 63, SIZE, dtype=np.uint64)
-ROWS_OF_HASHES = 1 << 12
+SHINGLE, SIMILAR, SEED = 5, 0.8, 42
+POSITIONS, GROUP = 40, 4
+MIN_SHARED, RADIUS = 6, 66
+LISTS = [pair for g in range(0, POSITIONS, GROUP) for pair in combinations(range(g, g + GROUP), 2)]
+#: Pairs that cut a long list. Of the positions in CUTS groups, CUTS + 1 shared ones put two into one group; the list's key has two.
+CUTS = MIN_SHARED - 3
+SUBLISTS = [pair for g in range(CUTS) for pair in combinations(range(g, POSITIONS, CUTS), 2)]
+SHORT, HUBS, ROWS, LONG, MOST = 32, 512, 4096, 4096, 8
+STREAMS = np.array([0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(POSITIONS // 8)], dtype=np.uint64)
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -40,131 +49,222 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), dtype=np.uint64))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(SIZE, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), ROWS_OF_HASHES):
-        np.minimum(least, (hashes[at : at + ROWS_OF_HASHES, None] * FACTORS + SHIFTS).min(axis=0), out=least)
-    return common.mix64(least)
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """Each bit is that of over half of the shingles, in as many streams of their hashes as there are words of 64 bits."""
+    total = np.zeros(8 * POSITIONS, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        total += near_dedup.votes(common.mix64(hashes[at : at + (1 << 13), None] + STREAMS))
+    return np.packbits(2 * total > len(hashes)).tobytes()
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, key, the hash of the words, and the minima of texts that can have near copies."""
+    """doc_id, key, the hash of the words, and the fingerprint of texts that can have near copies."""
     for batch in batches:
-        nodes, signs = [], []
+        nodes, prints = [], []
         for _, texts in common.texts_of(batch.column(2)):
             for text in texts:
                 words = common.words_of(text)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-                signs.append(minima(shingles(words)).tobytes() if len(words) >= SHINGLE else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(signs, pa.binary())], ["doc_id", "key", "node", "signs"])
+                prints.append(fingerprint(shingles(words)) if len(words) >= SHINGLE else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.binary())], ["doc_id", "key", "node", "print"])
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            signs = batch.column(1).slice(at, 1024).to_pylist()
-            table = np.frombuffer(b"".join(signs), dtype=np.uint64).reshape(-1, BANDS, ROWS)
-            keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), table.shape[:2])
-            for k in range(ROWS):
-                keys = common.mix64(keys ^ table[:, :, k])
-            marks = (table.reshape(-1, SIZE) & np.uint64(0xFF)).astype(np.uint8)
-            marks = [m for row in marks for m in [row.tobytes()] * BANDS]
-            nodes = np.repeat(batch.column(0).slice(at, 1024).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes), pa.array(marks, pa.binary())], ["key", "node", "marks"])
-
-
-def candidates(marks: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(place, place, equal bytes) within one list; marks: members x SIZE."""
+def marks_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints as rows of positional bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
+
+
+def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def tallied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Candidates among all rows of a and of b (a mask): MIN_SHARED positional bytes, then RADIUS bits."""
+    tally = np.zeros((len(a), len(b)), dtype=np.uint8)
+    for p in range(POSITIONS):
+        tally += a[:, p, None] == b[None, :, p]
+    near = tally >= MIN_SHARED
+    i, j = np.nonzero(near)
+    near[i, j] = bits_between(a[i], b[j]) <= RADIUS
+    return near
+
+
+def near_pairs(marks: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of places that are candidates."""
+    enough = near_dedup.shared_bytes(marks[i], marks[j]) >= MIN_SHARED
+    i, j = i[enough], j[enough]
+    near = bits_between(marks[i], marks[j]) <= RADIUS
+    return i[near], j[near]
+
+
+def _cut(marks: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Candidate pairs (rows of u, v, u < v) of the places left of a list, by sublists."""
+    found = []
+    for p, q in SUBLISTS:
+        code = marks[left, p].astype(np.int64) << 8 | marks[left, q]
+        order = np.argsort(code, kind="stable")
+        at, code = left[order], code[order]
+        first, length = near_dedup.runs(code)
+        for i, j in near_dedup.pairs_of(code, np.repeat(length, length), SHORT):
+            found.append(np.stack(near_pairs(marks, at[i], at[j]), axis=1))
+        for a, n in zip(first[length > SHORT], length[length > SHORT], strict=True):
+            own = at[a : a + n]
+            found += [own[pair] for pair in _hubs(marks[own], np.arange(n), len(own))[0]]
+    return np.unique(np.concatenate([np.zeros((0, 2), dtype=np.int64), *found]), axis=0)
+
+
+def _hubs(marks: np.ndarray, left: np.ndarray, until: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(parts of rows u, v), places left, candidates found of each place: members look at hubs before them, block by block."""
+    count, found = np.zeros(len(marks), dtype=np.int64), []
+    for h in range(0, until, HUBS):
+        hubs, rows = np.arange(h, min(h + HUBS, until)), left[left > h]
+        for r in range(0, len(rows), ROWS):
+            some = rows[r : r + ROWS]
+            near = tallied(marks[some], marks[hubs]) & (hubs[None, :] < some[:, None])
+            near &= near.cumsum(axis=1) + count[some, None] <= MOST
+            i, j = np.nonzero(near)
+            found.append(np.stack([hubs[j], some[i]], axis=1))
+            count[some] += near.sum(axis=1)
+        left = left[count[left] < MOST]
+    return found, left, count
+
+
+def candidates(marks: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(rows of places u, v, whether a member was done early) of one long list."""
     m = len(marks)
-    pool, near = np.arange(m), np.zeros(m, dtype=np.int64)
-    best, other = np.zeros((m, MOST), dtype=np.uint8), np.zeros((m, MOST), dtype=np.int64)
-    for i in range(m - 1):
-        pool = pool[pool != i]
-        if not len(pool):
-            break
-        equal = (marks[pool] == marks[i]).sum(axis=1)
-        hit = equal >= LIKELY
-        found, equal = pool[hit], equal[hit]
-        if not len(found):
-            continue
-        slot = best[found].argmin(axis=1)
-        more = equal > best[found, slot]
-        best[found[more], slot[more]], other[found[more], slot[more]] = equal[more], i
-        near[found] += equal >= NEAR
-        gone = found[(equal >= SAME) | (near[found] >= MOST)]
-        if len(gone):
-            pool = np.setdiff1d(pool, gone, assume_unique=True)
-    for v, k in zip(*np.nonzero(best), strict=True):
-        yield int(other[v, k]), int(v), int(best[v, k])
+    found, left, count = _hubs(marks, np.arange(m), m if m <= LONG else HUBS)
+    early = bool((count >= MOST).any())
+    if m > LONG:
+        if len(left) <= LONG:
+            more, _, again = _hubs(marks[left], np.arange(len(left)), len(left))
+            found += [left[x] for x in more]
+            early |= bool((again >= MOST).any())
+        else:
+            pairs = _cut(marks, left)
+            pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
+            first, length = near_dedup.runs(pairs[:, 1]) if len(pairs) else (np.zeros(0, int), np.zeros(0, int))
+            found.append(pairs[np.arange(len(pairs)) - np.repeat(first, length) < MOST])
+            early |= bool((length >= MOST).any())
+    return np.concatenate([np.zeros((0, 2), dtype=np.int64), *found]), early
+
+
+def across(marks: np.ndarray, label: np.ndarray) -> Iterator[np.ndarray]:
+    """All candidate pairs (rows of places) of one list whose labels differ. Linear in the members where nearly all have one label."""
+    values, place, count = np.unique(label, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(place != count.argmax())
+    for r in range(0, len(few), ROWS):
+        some = few[r : r + ROWS]
+        for c in range(0, len(marks), HUBS):
+            others = np.arange(c, min(c + HUBS, len(marks)))
+            near = tallied(marks[some], marks[others]) & (place[some, None] != place[None, others])
+            i, j = np.nonzero(near)
+            yield np.stack([some[i], others[j]], axis=1)
+
+
+def _pairs(node: np.ndarray, marks: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+    """Nodes u < v and their differing bits."""
+    places = np.concatenate([np.zeros((0, 2), dtype=np.int64), *found])
+    ends = np.sort(node[places], axis=1)
+    return [ends[:, 0], ends[:, 1], bits_between(marks[places[:, 0]], marks[places[:, 1]])]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a list that goes on in the next batch is carried over."""
+    """(list, u, v, differ); a list in which a member was done early has one more row, without u and v."""
+    for table in near_dedup.whole_lists(batches):
+        key, node, marks = table.column(0).to_numpy(), table.column(1).to_numpy(), marks_of(table.column(2))
+        first, length = near_dedup.runs(key)
+        found = [np.stack(near_pairs(marks, i, j), axis=1) for i, j in near_dedup.pairs_of(key, np.repeat(length, length), SHORT)]
+        early = []
+        for a, n in zip(first[length > SHORT], length[length > SHORT], strict=True):
+            pairs, capped = candidates(marks[a : a + n])
+            found.append(pairs + a)
+            early += [key[a]] * capped
+        u, v, differ = _pairs(node, marks, found)
+        lists = np.r_[np.zeros(len(u), dtype=np.int64), np.array(early, dtype=np.int64)]
+        none = np.arange(len(lists)) >= len(u)
+        columns = [pa.array(np.r_[x, np.zeros(len(early), dtype=np.int64)], mask=none) for x in (u, v, differ)]
+        yield pa.RecordBatch.from_arrays([pa.array(lists, mask=~none), *columns], ["list", "u", "v", "differ"])
 
-    def found(key: np.ndarray, node: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        length = np.diff(np.r_[first, len(key)])
-        several = length > 1
-        out = [(node[a + i], node[a + j], n) for a, m in zip(first[several], length[several], strict=True) for i, j, n in candidates(marks[a : a + m])]
-        pairs = np.array(out, dtype=np.int64).reshape(-1, 3)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(3)], ["u", "v", "equal"])
 
-    parts: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, SIZE)]
-        start = int(np.searchsorted(now[0], now[0][-1]))
-        if parts and (start or parts[-1][0][-1] != now[0][0]):
-            whole = [np.concatenate(x) for x in zip(*parts, [x[:start] for x in now], strict=True)]
-            yield found(*whole)
-            parts = []
-        elif start:
-            yield found(*(x[:start] for x in now))
-        parts.append([x[start:].copy() for x in now])
-    if parts:
-        yield found(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in near_dedup.whole_lists(batches):
+        key, node, marks, label = table.column(0).to_numpy(), table.column(1).to_numpy(), marks_of(table.column(2)), table.column(3).to_numpy()
+        for a, n in zip(*near_dedup.runs(key), strict=True):
+            for part in across(marks[a : a + n], label[a : a + n]):
+                u, v, _ = _pairs(node[a : a + n], marks[a : a + n], [part])
+                yield pa.RecordBatch.from_arrays([pa.array(u.copy()), pa.array(v.copy())], ["u", "v"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs come sorted by u, so its shingles are often those of the row before."""
+    last, x = None, np.zeros(0, dtype=np.uint64)
     for batch in batches:
         good = []
         for at, texts in common.texts_of(batch.column(2)):
             for a, b in zip(texts, batch.column(3).slice(at, len(texts)).to_pylist(), strict=True):
-                x, y = shingles(common.words_of(a)), shingles(common.words_of(b))
+                if a != last:
+                    last, x = a, shingles(common.words_of(a))
+                y = shingles(common.words_of(b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= SIMILAR * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
+def nodes_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, node, print) of every row: node is the hash of a text's words, print null for texts under five words."""
+    common.prepare(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_dedup.text_key().alias("key"), "text").mapInArrow(_nodes, "doc_id long, key long, node long, print binary").checkpoint()
+
+
+def _lists(prints: DataFrame, *more: str) -> DataFrame:
+    keys = [F.concat(F.substring("print", p + 1, 1), F.substring("print", q + 1, 1)) for p, q in LISTS]
+    return near_dedup.postings(prints, keys, "node", "print", *more)
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v): nodes with a similarity of at least SIMILAR; nodes: (doc_id, key, node, signs) of every row."""
+    """(u, v): nodes with a similarity of at least SIMILAR, enough of them for the components of all candidates that have it."""
     spark = docs.sparkSession
-    distinct = nodes.where("signs IS NOT NULL").groupBy("node").agg(F.first("signs").alias("signs"))
-    dealt = distinct.select("node", "signs").mapInArrow(_lists, "key long, node long, marks binary").repartition("key")
-    pairs = dealt.sortWithinPartitions("key", "node").mapInArrow(_candidates, "u long, v long, equal long").distinct()
+    prints = nodes.where("print IS NOT NULL").groupBy("node").agg(F.first("print").alias("print"))
+    found = _lists(prints).mapInArrow(_candidates, "list long, u long, v long, differ long").checkpoint()
+    pairs = found.where("u IS NOT NULL").groupBy("u", "v").agg(F.min("differ").alias("differ"))
     # u is the smaller of a pair, so each is there once; the likeliest of each v is verified first, the rest only where it still joins something
-    pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("equal"), "u"))).checkpoint()
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    place = nodes.join(wanted, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("at")).select("node", F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key"))
+    pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("differ", "u"))).checkpoint()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_dedup.text_key().alias("key"), "text")
-    texts = keyed.join(place, (keyed["key"] == place["_key"]) & keyed["doc_id"].eqNullSafe(place["_id"])).groupBy("node").agg(F.first("text").alias("text")).checkpoint()
 
-    def verified(some: DataFrame) -> DataFrame:
+    def texts_of(some: DataFrame) -> DataFrame:
+        """One text of each node in a pair."""
+        wanted = some.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("at")
+        place = nodes.join(wanted, "node").groupBy("node").agg(least).select("node", F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key"))
+        return keyed.join(place, (keyed["key"] == place["_key"]) & keyed["doc_id"].eqNullSafe(place["_id"])).groupBy("node").agg(F.first("text").alias("text")).checkpoint()
+
+    def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
         one, two = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-        return some.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_verified, "u long, v long").checkpoint()
+        return some.select("u", "v").join(two, "v").join(one, "u").select("u", "v", "a", "b").sortWithinPartitions("u").mapInArrow(_verified, "u long, v long").checkpoint()
+
+    def between(some: DataFrame, root: DataFrame) -> DataFrame:
+        of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        return some.join(of("u"), "u", "left").join(of("v"), "v", "left").where("coalesce(root_u, u) <> coalesce(root_v, v)").select("u", "v")
 
-    first = verified(pairs.where("n = 1"))
-    root = components.roots(spark, first)
-    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = pairs.where("n > 1").join(of("u"), "u", "left").join(of("v"), "v", "left").where("coalesce(root_u, u) <> coalesce(root_v, v)")
-    return first.unionByName(verified(rest))
+    texts = texts_of(pairs)
+    first = verified(pairs.where("n = 1"), texts)
+    rest = between(pairs.where("n > 1"), components.roots(spark, first)).checkpoint()
+    good = first.unionByName(verified(rest, texts))
+    early = found.where("u IS NULL").select("list").distinct().checkpoint()
+    if early.isEmpty():
+        return good
+    # the exact pass: candidate pairs between components in the lists that stopped early, less those that are verified
+    root = components.roots(spark, good)
+    labelled = prints.join(root, "node", "left").select("node", "print", F.coalesce("root", "node").alias("label"))
+    again = _lists(labelled, "label").join(early, "list", "left_semi").repartition("list").sortWithinPartitions("list", "node")
+    more = again.mapInArrow(_across, "u long, v long").distinct()
+    more = more.join(pairs.where("n = 1").select("u", "v").unionByName(rest), ["u", "v"], "left_anti").checkpoint()
+    return good if more.isEmpty() else good.unionByName(verified(more, texts_of(more)))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each component exactly one row stays, that with the smallest doc_id."""
-    common.prepare(spark)
-    nodes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_dedup.text_key().alias("key"), "text").mapInArrow(_nodes, "doc_id long, key long, node long, signs binary").checkpoint()
+    nodes = nodes_of(docs)
     root = components.roots(spark, links(docs, nodes))
     named = nodes.select("doc_id", "key", "node").join(root, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     return near_dedup.one_per_component(docs, named)
