@@ -197,16 +197,32 @@ def test_mix(odd, none):
     assert mixing.mix(none).count() == 0
 
 
-def test_mix_stage(spark, odd, sf):
-    one = odd.dropDuplicates(["doc_id"])
-    out = mixing.repeat(spark, one, sf)
-    assert out.dtypes == one.dtypes
-    taken = {r["doc_id"]: r["taken"] for r in rows(mixing.mix(one))}
-    got, texts = collections.Counter(), {r["doc_id"]: r["text"] for r in rows(one)}
-    for r in rows(out):
-        got[r["doc_id"]] += common.word_count(r["text"])
-        assert r["text"] in texts[r["doc_id"]]
-    assert got == +collections.Counter(taken)
+def test_mix_stage(spark, odd, none, sf):
+    """Rows with null and repeated ids, repeated rows too: the words that come out are those that the mix takes, row by row."""
+    rng = random.Random(5)
+    ids = [None, None, None, 7, 7, 7, 1, 2, 3, 3]
+    texts = [" ".join(f"w{rng.randrange(90)}" for _ in range(rng.randint(30, 300))) for _ in ids]
+    texts[9] = texts[8]
+    clones = spark.createDataFrame([(i, t, "en", "ab"[k % 2], len(t)) for k, (i, t) in enumerate(zip(ids, texts, strict=True))] * 2 + [(9, texts[0], "en", "c", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    for df in (odd, clones.repartition(3)):
+        out = mixing.repeat(spark, df, sf)
+        assert out.dtypes == df.dtypes
+        taken, got = collections.Counter(), collections.Counter()
+        for r in rows(mixing.mix(df)):
+            taken[r["doc_id"], r["source"]] += r["taken"]
+        whole = collections.defaultdict(list)
+        for r in rows(df):
+            whole[r["doc_id"], r["source"]].append(r["text"] or "")
+        for r in rows(out):
+            got[r["doc_id"], r["source"]] += common.word_count(r["text"])
+            assert any(r["text"] in t for t in whole[r["doc_id"], r["source"]])
+        assert got == +taken
+        most = collections.Counter()
+        for r in rows(df):
+            most[r["text"]] += 3 * common.word_count(r["text"])
+        for t, r in itertools.groupby(sorted((r for r in rows(out) if r["text"] in most), key=lambda r: r["text"]), key=lambda r: r["text"]):
+            assert sum(common.word_count(x["text"]) for x in r) <= most[t]
+    assert mixing.repeat(spark, none, sf).count() == 0
 
 
 # 6
@@ -246,27 +262,50 @@ def test_fingerprint_definition():
     assert near_dedup.fingerprint("two Words") == xxhash.xxh64_intdigest("two words", 42) and near_dedup.fingerprint(None) == near_dedup.fingerprint(" \n") == 0
 
 
-def test_posting_lists():
+def test_lists_meet_every_pair_of_the_least_tally():
+    for differ in itertools.combinations(range(8), 2):
+        assert any(not set(differ) & set(kept) for kept in near_dedup.LISTS)
+
+
+def test_tally():
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fp = np.array([base, base ^ 1, base ^ 0x0101, base ^ 0x010101, base ^ 0x03, base ^ 0x07, rng.getrandbits(64)], dtype=np.uint64)
+    i, j = np.triu_indices(len(fp), 1)
+    marks = fp.view(np.uint8).reshape(-1, 8)
+    want = [sum(x == y for x, y in zip(int(fp[a]).to_bytes(8), int(fp[b]).to_bytes(8), strict=True)) for a, b in zip(i, j, strict=True)]
+    assert near_dedup.shared_bytes(marks[i], marks[j]).tolist() == want
+    bits = [(int(fp[a]) ^ int(fp[b])).bit_count() for a, b in zip(i, j, strict=True)]
+    assert near_dedup.near_pairs(fp, i, j).tolist() == [b <= 2 for b in bits]  # two bits imply six bytes
+
+
+def whole_or_linked(found, members):
+    """Components of members by the edges found, as sets."""
+    root = {m: m for m in members}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        root[find(a)] = find(b)
+    groups = collections.defaultdict(set)
+    for m in members:
+        groups[find(m)].add(m)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("free, flips, n", [(16, 6, 300), (40, 5, 400), (64, 3, 40)])
+def test_long_lists(spark, free, flips, n):
     rng = random.Random(8)
     base = rng.getrandbits(64)
-    members = np.array(sorted({base ^ sum(1 << b for b in rng.sample(range(16), rng.randint(0, 6))) for _ in range(300)}), dtype=np.uint64)
-    for part in (members, members[:10]):
-        root = {m: m for m in part.tolist()}
-
-        def find(x, root=root):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        mine = dict(root)
-        for a, b in itertools.combinations(part.tolist(), 2):
-            if (a ^ b).bit_count() <= 2:
-                root[find(a)] = find(b)
-        for a, b in near_dedup.link_list(part):
-            assert find(a) == find(b)
-            mine[b] = a
-        group = lambda r, x: x if r[x] == x else group(r, r[x])
-        assert len({group(mine, m) for m in part.tolist()}) == len({find(m) for m in part.tolist()})
+    members = sorted({base ^ sum(1 << b for b in rng.sample(range(free), rng.randint(0, flips))) for _ in range(n)})
+    want = whole_or_linked([(a, b) for a, b in itertools.combinations(members, 2) if (a ^ b).bit_count() <= 2], members)
+    assert whole_or_linked(near_dedup.link_list(np.array(members, dtype=np.uint64)), members) == want
+    signed = [(m - (1 << 64) if m >> 63 else m,) for m in members]
+    edges = [(r.u % (1 << 64), r.v % (1 << 64)) for r in near_dedup.links(spark.createDataFrame(signed, "fp long")).collect()]
+    assert whole_or_linked(edges, members) == want
 
 
 def test_components(spark):
@@ -281,56 +320,87 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if x in linked}
 
 
-def test_keep_one(spark, odd, sf):
-    out = near_dedup.keep_one(spark, odd, sf)
-    ids = [r["doc_id"] for r in rows(out)]
-    assert out.dtypes == odd.dtypes and len(ids) == len(set(ids))
-    assert {c for _, _, c in brute_components([(r["doc_id"], r["text"]) for r in rows(odd)])} == set(ids)
-
-
 def test_keep_one_of_null_and_repeated_ids(spark, sf):
     rng = random.Random(3)
     a, b, c, d, e = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(5)]
     docs = spark.createDataFrame([(None, a, "x"), (None, b, "x"), (None, b, "y"), (5, c, "x"), (5, d, "x"), (5, d, "y"), (3, e, "x"), (5, e, "x"), (None, e, "x"), (None, c, "x")], "doc_id long, text string, lang string").repartition(3)
-    for stage in (near_dedup.keep_one, shingle_dedup.keep_one):
-        got = collections.Counter((r["doc_id"], r["text"]) for r in rows(stage(spark, docs, sf)))
-        assert got == {(None, a): 1, (None, b): 1, (5, c): 1, (5, d): 1, (3, e): 1}
+    got = collections.Counter((r["doc_id"], r["text"]) for r in rows(shingle_dedup.keep_one(spark, docs, sf)))
+    assert got == {(None, a): 1, (None, b): 1, (5, c): 1, (5, d): 1, (3, e): 1}
 
 
-def test_pipeline_drops_near_copies_by_similarity(spark, sf):
-    """The stage against all pairs: five-word shingles, Jaccard at least 0.8, components of such links."""
-    rng = random.Random(4)
+def near_texts(rng, families, changes):
     texts = []
-    for _ in range(12):
+    for _ in range(families):
         words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(40, 200))]
-        for changes in (0, 1, 1, 2, 3, 6):
+        for n in changes:
             copy = list(words)
-            for at in rng.sample(range(len(words)), changes):
+            for at in rng.sample(range(len(words)), n):
                 copy[at] = f"w{rng.randrange(5000)}"
             texts.append(" ".join(copy))
-    texts += ["one two", "One  two", "", None, "one two three four five", "one two three four five six"]
+    return texts
+
+
+def similar(texts):
+    """Pairs of places with a similarity of 0.8 or more, by all pairs."""
     sets = []
     for t in texts:
         words = (t or "").lower().split()
         sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
-    root = list(range(len(texts)))
-    for j, i in itertools.combinations(range(len(texts)), 2):
-        if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-            a, b = sorted((root[i], root[j]))
-            root = [a if r == b else r for r in root]
+    return [(j, i) for j, i in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+
+def test_stage_finds_near_copies_by_similarity(spark, sf):
+    """The stage against all pairs: nothing that has no near copy goes, and nine of ten near copies at least do."""
+    texts = near_texts(random.Random(4), 30, (0, 1, 1, 2, 3, 6))
+    texts += ["one two", "One  two", "", None, "one two three four five", "one two three four five six"]
+    groups = whole_or_linked(similar(texts), range(len(texts)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = sorted(r["doc_id"] for r in rows(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf)))
-    assert got == sorted(set(root)) and len(got) < 50
-    assert len(rows(near_dedup.keep_one(spark, docs, sf))) > len(got)
+    got = {r["doc_id"] for r in rows(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf))}
+    assert all(g[0] in got for g in groups)
+    gone = len(texts) - len(got)
+    assert 0.9 * (len(texts) - len(groups)) <= gone <= len(texts) - len(groups)
     assert shingle_dedup.keep_one(spark, docs.limit(0), sf).count() == 0
 
 
-def test_candidates_stay_in_line_with_members():
+@pytest.mark.parametrize("families, times", [(3, 1), (1, 6)])
+def test_links_connect_all_candidates(spark, families, times):
+    """The components are those of all pairs that meet, reach the tally and are similar; lists of over SHORT, with an exact pass, too."""
+    texts = near_texts(random.Random(7), families, (0, 1, 1, 1, 2, 2, 2, 3, 3, 4, 5, 6, 7, 8, 9) * times)
+    prints = [np.frombuffer(shingle_dedup.fingerprint(shingle_dedup.shingles(common.words_of(t))), dtype=np.uint8) for t in texts]
+    meet = lambda a, b: any((a[list(kept)] == b[list(kept)]).all() for kept in shingle_dedup.LISTS)
+    near = lambda a, b: (a == b).sum() >= shingle_dedup.MIN_SHARED and np.bitwise_count(a ^ b).sum() <= shingle_dedup.RADIUS
+    want = whole_or_linked([(i, j) for i, j in similar(texts) if meet(prints[i], prints[j]) and near(prints[i], prints[j])], range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nodes = shingle_dedup.nodes_of(docs)
+    rows_of = nodes.collect()
+    place = {r["node"]: r["doc_id"] for r in rows_of}
+    copies = [(place[r["node"]], r["doc_id"]) for r in rows_of]
+    found = [(place[r["u"]], place[r["v"]]) for r in shingle_dedup.links(docs, nodes).collect()]
+    assert set(map(tuple, map(sorted, found))) <= set(similar(texts))
+    assert whole_or_linked(found + copies, range(len(texts))) == want
+
+
+@pytest.mark.parametrize("short, hubs, long", [(32, 512, 4096), (2, 8, 16), (3, 50, 100)])
+def test_long_list_of_strangers_and_copies(monkeypatch, short, hubs, long):
+    for name, value in {"SHORT": short, "HUBS": hubs, "LONG": long}.items():
+        monkeypatch.setattr(shingle_dedup, name, value)
     rng = np.random.default_rng(1)
-    marks = np.repeat(rng.integers(0, 256, (1, shingle_dedup.SIZE), dtype=np.uint8), 500, axis=0)
-    marks[np.arange(500), rng.integers(0, shingle_dedup.SIZE, 500)] = 0
-    found = list(shingle_dedup.candidates(marks))
-    assert len(found) <= 500 * shingle_dedup.MOST and {v for _, v, _ in found} == set(range(1, 500))
+    marks = rng.integers(0, 256, (300, shingle_dedup.POSITIONS), dtype=np.uint8)
+    marks[100:] = marks[0]
+    for k in range(100, 300):
+        marks[k, rng.integers(0, 40, 5)] ^= 3
+    marks[:, :2] = 7
+    marks[50:52, 10:18] = marks[60:62, 10:18]
+    marks[50:52, 18:] = marks[60:62, 18:] ^ 1
+    found, early = shingle_dedup.candidates(marks)
+    near = shingle_dedup.tallied(marks, marks)
+    pairs = {tuple(sorted(p)) for p in found.tolist()}
+    assert early and all(near[a, b] for a, b in pairs) and len(pairs) <= 300 * shingle_dedup.MOST
+    assert {(50, 60), (51, 61)} <= pairs
+    label = np.zeros(300, dtype=np.int64)
+    label[[5, 120, 121]] = 1, 2, 3
+    got = {tuple(sorted(p)) for part in shingle_dedup.across(marks, label) for p in part.tolist()}
+    assert got == {(a, b) for a, b in itertools.combinations(range(300), 2) if near[a, b] and label[a] != label[b]}
 
 
 # 7
@@ -509,3 +579,29 @@ def test_pipeline(spark, documents, sf):
         assert out.dtypes == documents.dtypes, name
         docs = spark.createDataFrame(out.collect(), documents.schema)
     assert rows(corpus_pipeline.STAGES[-1][1](spark, docs, sf))
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, odd, none, labels, tmp_path):
+    """All stages on nulls, repeats and clashing columns; what each keeps is accounted for."""
+    stages = dict(corpus_pipeline.STAGES)
+    for name, docs in (("odd", odd), ("none", none)):
+        at = str(tmp_path / name)
+        docs.write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        before = spark.read.parquet(f"{at}/documents.parquet")
+        for stage in ("language_id", "toxicity", "near_dedup"):
+            after = stages[stage](spark, before, at)
+            assert after.dtypes == docs.dtypes
+            plain = lambda df: collections.Counter(tuple(r) for r in rows(df))
+            after.write.parquet(f"{at}/{stage}")
+            after = spark.read.parquet(f"{at}/{stage}")
+            assert not plain(after) - plain(before), "a stage only removes rows"
+            if stage == "near_dedup":
+                texts = [r["text"] or "" for r in rows(before)]
+                assert {" ".join(t.lower().split()) for t in texts if len(t.split()) < 5} <= {" ".join((r["text"] or "").lower().split()) for r in rows(after)}
+                assert len(rows(after)) >= len(whole_or_linked(similar(texts), range(len(texts))))
+            before = after
+        pieces = rows(corpus_pipeline.run(spark, at))
+        assert bool(pieces) == (name == "odd")
+        mixed = collections.Counter(r["doc_id"] for r in rows(stages["mixing"](spark, before, at)))
+        assert {p["doc_id"] for p in pieces} == set(mixed)

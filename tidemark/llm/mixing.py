@@ -20,7 +20,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -69,15 +69,21 @@ def apportion(votes: list[float], seats: int, limits: list[int]) -> list[int]:
     return given
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, block: int = BLOCK, most: int = MOST) -> DataFrame:
+def text_key() -> Column:
+    """Tells rows of one doc_id and source with different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, block: int = BLOCK, most: int = MOST, keyed: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, whole, from1, to1, from2, to2) for each row of docs.
 
     whole: times the document is taken whole; from..to: the words of it that are taken once more (at most two runs).
     weights: by source; without them sources by code point, null last, weigh 1, 2, 3 and again from 1.
+    keyed: one more column, key, as by text_key().
     """
     spark = common.prepare(docs.sparkSession)
     # texts are read once; what is kept of them is a number
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).checkpoint()
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_key().alias("key") if keyed else F.lit(0).alias("key")).checkpoint()
     rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -100,7 +106,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: i
         for k, n, quota in zip(own, blocks, apportion([float(lengths[k]) for k in own], by_source[i], [most * n for n in blocks]), strict=True):
             plan.append((*k, lengths[k], n, quota // n if n else 0, quota % n if n else 0))
     quotas = spark.createDataFrame(plan, "source_number int, shard int, words long, blocks long, whole long, more long")
-    seeded = Window.partitionBy("source_number", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    seeded = Window.partitionBy("source_number", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "key")
     placed = dealt.withColumn("end", F.sum("size").over(seeded.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
     placed = placed.join(F.broadcast(quotas), ["source_number", "shard"])
     first = F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "source_number", "shard"), F.col("blocks"))).otherwise(F.lit(0))
@@ -112,7 +118,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: i
         end = F.least(b, F.col("end")) - F.col("begin")
         placed = placed.withColumn(f"from{n}", F.when(end > begin, begin).otherwise(F.lit(0)).cast("long")).withColumn(f"to{n}", F.when(end > begin, end).otherwise(F.lit(0)).cast("long"))
     taken = F.col("whole") * F.col("size") + F.col("to1") - F.col("from1") + F.col("to2") - F.col("from2")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "whole", "from1", "to1", "from2", "to2")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "whole", "from1", "to1", "from2", "to2", *(["key"] if keyed else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,12 +143,26 @@ def cut(text: str, begin: int, end: int) -> str:
 def repeat(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: each document as often as the mix takes it whole, and once more for each run of words taken besides.
 
-    A document of which the mix takes nothing goes. A copy that is cut has its own n_chars. doc_id must be unique or null here, as the
-    stage before leaves it.
+    A document of which the mix takes nothing goes. A copy that is cut has its own n_chars. Each row of docs meets its own row of the
+    mix: by doc_id, source and text, and where rows agree in all three, by their number among those.
     """
     names, fields = docs.columns, ("whole", "size", "from1", "to1", "from2", "to2")
-    plan = mix(docs).where("taken > 0").select(F.col("doc_id").alias("__mix_id"), *[F.col(c).alias(f"__mix_{c}") for c in fields])
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__mix_id"])).drop("__mix_id")
+    own = [docs["doc_id"].cast("long"), docs["source"], text_key()]
+    plan = mix(docs, keyed=True).select(*[F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "key", "taken", *fields)])
+    place = ["__mix_doc_id", "__mix_source", "__mix_key"]
+    plan = plan.withColumn("__mix_n", F.row_number().over(Window.partitionBy(*place).orderBy(*[f"__mix_{c}" for c in ("taken", *fields)]))).checkpoint()
+    same = own[0].eqNullSafe(plan[place[0]]) & own[1].eqNullSafe(plan[place[1]]) & (own[2] == plan[place[2]])
+    repeated = plan.where("__mix_n = 2").select(*place)
+    if repeated.isEmpty():
+        joined = docs.join(plan.where("__mix_taken > 0"), same)
+    else:  # only rows that repeat are numbered, by a second look at the documents
+        several = repeated.select(*[F.col(c).alias(f"{c}s") for c in place])
+        match = lambda key: key[0].eqNullSafe(several[f"{place[0]}s"]) & key[1].eqNullSafe(several[f"{place[1]}s"]) & (key[2] == several[f"{place[2]}s"])
+        once = plan.join(several, match([plan[c] for c in place]), "left_anti").where("__mix_taken > 0")
+        again = docs.join(several, match(own)).withColumn("__mix_row", F.row_number().over(Window.partitionBy(*[f"{c}s" for c in place]).orderBy(*[F.col(c) for c in names if c != "text"])))
+        numbered = [again[f"{place[0]}s"].eqNullSafe(plan[place[0]]), again[f"{place[1]}s"].eqNullSafe(plan[place[1]]), again[f"{place[2]}s"] == plan[place[2]], again["__mix_row"] == plan["__mix_n"]]
+        wanted = [*names, *[f"__mix_{c}" for c in fields]]
+        joined = docs.join(once, same).select(*wanted).unionByName(again.join(plan.where("__mix_taken > 0"), numbered).select(*wanted))
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
