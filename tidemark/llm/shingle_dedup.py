@@ -34,12 +34,16 @@ from tidemark.llm import common, components, near_dedup
 
 SHINGLE, SIMILAR, SEED = 5, 0.8, 42
 POSITIONS, GROUP = 40, 4
-MIN_SHARED, RADIUS = 6, 66
+MIN_SHARED, RADIUS = 6, 60
 LISTS = [pair for g in range(0, POSITIONS, GROUP) for pair in combinations(range(g, g + GROUP), 2)]
 #: Pairs that cut a long list. Of the positions in CUTS groups, CUTS + 1 shared ones put two into one group; the list's key has two.
 CUTS = MIN_SHARED - 3
 SUBLISTS = [pair for g in range(CUTS) for pair in combinations(range(g, POSITIONS, CUTS), 2)]
-SHORT, HUBS, ROWS, LONG, MOST = 32, 512, 4096, 4096, 8
+SHORT, HUBS, ROWS, LONG, MOST = 16, 512, 4096, 4096, 2
+#: Texts of so many bytes in all are broadcast to be verified; more are dealt with the pairs.
+TEXT_BYTES = 16 << 20
+#: So many lists that stopped early are broadcast.
+EARLY = 100_000
 STREAMS = np.array([0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(POSITIONS // 8)], dtype=np.uint64)
 
 
@@ -226,8 +230,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prints = nodes.where("print IS NOT NULL").groupBy("node").agg(F.first("print").alias("print"))
     found = _lists(prints).mapInArrow(_candidates, "list long, u long, v long, differ long").checkpoint()
-    pairs = found.where("u IS NOT NULL").groupBy("u", "v").agg(F.min("differ").alias("differ"))
-    # u is the smaller of a pair, so each is there once; the likeliest of each v is verified first, the rest only where it still joins something
+    # u is the smaller of a pair; the likeliest of each v is verified first, the rest only where it still joins something
+    pairs = found.where("u IS NOT NULL").select("u", "v", "differ").distinct()
     pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("differ", "u"))).checkpoint()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_dedup.text_key().alias("key"), "text")
 
@@ -239,8 +243,13 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         return keyed.join(place, (keyed["key"] == place["_key"]) & keyed["doc_id"].eqNullSafe(place["_id"])).groupBy("node").agg(F.first("text").alias("text")).checkpoint()
 
     def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
+        few = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= TEXT_BYTES
         one, two = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-        return some.select("u", "v").join(two, "v").join(one, "u").select("u", "v", "a", "b").sortWithinPartitions("u").mapInArrow(_verified, "u long, v long").checkpoint()
+        if few:
+            both = some.select("u", "v").repartition("u").join(F.broadcast(two), "v").join(F.broadcast(one), "u")
+        else:
+            both = some.select("u", "v").join(two, "v").join(one, "u")
+        return both.select("u", "v", "a", "b").sortWithinPartitions("u").mapInArrow(_verified, "u long, v long").checkpoint()
 
     def between(some: DataFrame, root: DataFrame) -> DataFrame:
         of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
@@ -249,14 +258,16 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = texts_of(pairs)
     first = verified(pairs.where("n = 1"), texts)
     rest = between(pairs.where("n > 1"), components.roots(spark, first)).checkpoint()
-    good = first.unionByName(verified(rest, texts))
+    wanted = rest.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    good = first.unionByName(verified(rest, texts.join(wanted, "node", "left_semi").checkpoint()))
     early = found.where("u IS NULL").select("list").distinct().checkpoint()
     if early.isEmpty():
         return good
     # the exact pass: candidate pairs between components in the lists that stopped early, less those that are verified
     root = components.roots(spark, good)
     labelled = prints.join(root, "node", "left").select("node", "print", F.coalesce("root", "node").alias("label"))
-    again = _lists(labelled, "label").join(early, "list", "left_semi").repartition("list").sortWithinPartitions("list", "node")
+    again = _lists(labelled, "label").join(F.broadcast(early) if early.count() <= EARLY else early, "list", "left_semi")
+    again = again.repartition("list").sortWithinPartitions("list", "node")
     more = again.mapInArrow(_across, "u long, v long").distinct()
     more = more.join(pairs.where("n = 1").select("u", "v").unionByName(rest), ["u", "v"], "left_anti").checkpoint()
     return good if more.isEmpty() else good.unionByName(verified(more, texts_of(more)))
