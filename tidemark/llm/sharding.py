@@ -2,13 +2,19 @@
 
 A store is a folder of immutable Parquet shards and of manifests, one file for each version, which list the shards that are live.
 append() writes an arrival as small shards; compact() merges runs of shards of similar size (a tier spans a factor of FAN_IN) into
-files of about the target size, once a tier has FAN_IN of them. Data files are written first; a version becomes visible by one
-rename onto a name that must not exist yet, so that readers see all of it or nothing and two writers cannot both commit it.
+files of about the target size, once a tier has FAN_IN of them. Data files are written first; a version becomes visible in one step
+that fails if its name is taken, so that readers see all of it or nothing and of two writers one commits: a hard link on a local file
+system, elsewhere a rename without overwriting, which HDFS does in one step. A store whose rename is a copy (object stores) is not safe
+for two writers at once.
+
+Nothing is deleted by a merge, so that readers of the versions before go on. vacuum() deletes files that the newest versions do not
+list and that are older than a grace time; a writer must commit within that time.
 
 A merge reads each group of files in a task of its own and writes one file: rows are not shuffled. What the driver handles is the
 manifest: a line for each shard.
 
-Nulls and edge cases: rows are stored as they are, with any columns, nulls and repeats; an empty arrival commits a version without
+Nulls and edge cases: rows are stored as they are, with any columns, nulls and repeats; arrivals may differ in columns (null where
+one lacks them), but not in a column's type; an empty arrival commits a version without
 new shards; a store without a version reads as nothing and raises FileNotFoundError; a lost race raises FileExistsError.
 """
 
@@ -16,6 +22,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-TARGET_BYTES, SMALL_BYTES, FAN_IN, GROUPS_A_JOB, ARRIVALS = 128 << 20, 1 << 20, 4, 64, 4
+TARGET_BYTES, SMALL_BYTES, FAN_IN, GROUPS_A_JOB, ARRIVALS, GRACE = 128 << 20, 1 << 20, 4, 64, 4, 86400.0
 
 
 @dataclass(frozen=True)
@@ -72,11 +79,26 @@ class Store:
         finally:
             out.close()
         self.files.mkdirs(self._path(f"{self.root}/manifest"))
-        if self.files.exists(self._path(name)) or not self.files.rename(self._path(scratch), self._path(name)):
+        try:
+            self._publish(scratch, name)
+        except Exception as error:
+            if self.files.exists(self._path(name)):
+                raise FileExistsError(name) from error
+            raise
+        finally:
             self.files.delete(self._path(scratch), False)
-            raise FileExistsError(name)
         return after + 1
 
+    def _publish(self, scratch: str, name: str) -> None:
+        """Give scratch its name in one step, or fail if the name is taken."""
+        if self.files.getScheme() == "file":
+            one, two = (self.jvm.java.io.File(self._path(p).toUri().getPath()).toPath() for p in (name, scratch))
+            self.jvm.java.nio.file.Files.createLink(one, two)
+            return
+        hadoop = self.jvm.org.apache.hadoop.fs
+        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        hadoop.FileContext.getFileContext(self._path(name).toUri(), self.conf).rename(self._path(scratch), self._path(name), options)
+
     def _write(self, rows: DataFrame) -> list[Shard]:
         folder = f"{self.root}/data/{common.uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(folder)
@@ -114,7 +136,7 @@ class Store:
         while runs := self.plan(live := self.shards(version := self.version())):
             merged: list[Shard] = []
             for at in range(0, len(runs), GROUPS_A_JOB):
-                parts = [self.spark.read.parquet(*[s.path for s in run]).coalesce(1) for run in runs[at : at + GROUPS_A_JOB]]
+                parts = [self.spark.read.option("mergeSchema", "true").parquet(*[s.path for s in run]).coalesce(1) for run in runs[at : at + GROUPS_A_JOB]]
                 rows = parts[0]
                 for part in parts[1:]:
                     rows = rows.unionByName(part, allowMissingColumns=True)
@@ -124,17 +146,18 @@ class Store:
             if before != after:
                 raise RuntimeError(f"merging {before} rows wrote {after}")
             self._commit([*(s for s in live if s.path not in gone), *merged], version)
-            self.vacuum()
         return self.version()
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete data files that none of the newest versions lists. Older versions can then not be read."""
-        newest = self.version()
+    def vacuum(self, keep: int = 1, grace: float = GRACE) -> int:
+        """Delete data files, over grace seconds old, that none of the newest versions lists; how many. Older versions can then not be read."""
+        newest, before = self.version(), time.time() - grace
         live = {s.path for v in range(max(1, newest - keep + 1), newest + 1) for s in self.shards(v)}
+        gone = 0
         for folder, _ in self._listed(f"{self.root}/data"):
             for path, _ in self._listed(folder):
-                if path.endswith(".parquet") and path not in live:
-                    self.files.delete(self._path(path), False)
+                if path.endswith(".parquet") and path not in live and self.files.getFileStatus(self._path(path)).getModificationTime() < 1000 * before:
+                    gone += self.files.delete(self._path(path), False)
+        return gone
 
     def read(self, version: int | None = None) -> DataFrame:
         shards = self.shards(version)
