@@ -7,11 +7,14 @@ log P(language | row) adds up, apart from a constant:
 - the host's prior, smoothed hierarchically: host towards registered domain towards all rows, without the row's own share.
 
 What is bounded: the trigram model is fitted on about FIT_PER_LANGUAGE labelled rows for each language, picked by a hash at rates
-that follow from the counts, at most MAX_LANGUAGES languages. Every other statistic is a grouped aggregation over all rows.
+that follow from the counts; over MAX_LANGUAGES languages are an error. Every other statistic is a grouped aggregation over all rows.
 
 Nulls and edge cases: a missing or empty text has an even likelihood, so the other evidence decides; a missing declaration, host or
 suffix is evidence of its own kind (a value of its own); a row without any letter in its text gets language "und" and posterior 0;
 an empty table gives an empty result; repeated rows are all returned.
+
+Scale: the sums of a host, domain, declaration or suffix go to its rows by a join. Values with over HOT_SHARE of all rows, fewer than
+1 / HOT_SHARE of them, are broadcast; their rows are dealt evenly in the join with the others.
 """
 
 from __future__ import annotations
@@ -29,16 +32,40 @@ from pyspark.sql import types as T
 
 from tidemark.llm import common
 
-FIT_PER_LANGUAGE, MAX_LANGUAGES = 500, 64
+FIT_PER_LANGUAGE, MAX_LANGUAGES, HOT_SHARE = 500, 256, 1e-3
 TABLE, TEMPER = 1 << 16, 60
 PRIOR_WEIGHT, EVIDENCE_SMOOTHING = 5.0, 1.0
 MIN_POSTERIOR = 0.5
-SKIPPED = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: Marks whose content is not text, and what ends them.
+CLOSED = re.compile(r"<(?:(script|style|noscript)\b|!--)", re.IGNORECASE)
+ENDS = {k: re.compile(rf"</{k}\s*>", re.IGNORECASE) for k in ("script", "style", "noscript")} | {"": re.compile("-->")}
 
 
 def visible(page: str | None) -> str:
-    """Text of a page without markup, scripts, styles and comments; entities decoded."""
-    return html_lib.unescape(SKIPPED.sub(" ", page)) if page else ""
+    """Text of a page without markup, scripts, styles and comments; entities decoded.
+
+    What is never closed is taken as a plain mark up to the next >, and a < without one as text. Each ending is missed once, so the
+    time is linear in the page.
+    """
+    parts, at, missing = [], 0, set()
+    page = page or ""
+    while (start := page.find("<", at)) >= 0:
+        parts.append(page[at:start])
+        mark, end = CLOSED.match(page, start), -1
+        kind = (mark.group(1) or "").lower() if mark else None
+        if mark and kind not in missing:
+            if found := ENDS[kind].search(page, mark.end()):
+                end = found.end()
+            else:
+                missing.add(kind)
+        if end < 0:
+            end = page.find(">", start) + 1
+            if not end:
+                at = start
+                break
+        parts.append(" ")
+        at = end
+    return html_lib.unescape("".join([*parts, page[at:]]))
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -64,7 +91,7 @@ class TextModel:
         grams = trigrams(text)
         if not len(grams) or not self.languages:
             return None
-        mean = self.logs[:, grams].mean(axis=1)
+        mean = self.logs[:, grams].mean(axis=1, dtype=float)
         total = mean * min(len(grams), TEMPER)
         return (total - total.max()).tolist()
 
@@ -73,7 +100,9 @@ def fit_text(labelled: DataFrame) -> TextModel:
     """Trigram frequencies of a bounded sample of labelled rows (doc_id, text, lang), each row weighing alike."""
     common.prepare(labelled.sparkSession)
     known = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return TextModel([], np.zeros((0, TABLE)))
     rate = F.lit(0.0)
@@ -97,7 +126,7 @@ def fit_text(labelled: DataFrame) -> TextModel:
     table = np.full((len(languages), TABLE), 1e-5)
     for r in rows:
         table[languages.index(r["lang"]), r["gram"]] += round(r["weight"], 9)
-    return TextModel(languages, np.log(table / table.sum(axis=1, keepdims=True)))
+    return TextModel(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
 def evidence(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame:
@@ -144,6 +173,18 @@ def posteriors(likelihood: np.ndarray, has_text: np.ndarray, sums: dict[str, np.
     return _softmax(score)
 
 
+def with_sums(rows: DataFrame, key: str, sums: DataFrame, hot: float) -> DataFrame:
+    """rows with the sums of their key. sums: (key, rows, numbers); those with over hot rows are broadcast, the others' rows dealt by key."""
+    numbers = [c for c in sums.columns if c not in (key, "rows")]
+    few = sums.where(F.col("rows") > hot).select(F.col(key).alias("__few"), *[F.col(c).alias(f"__few_{c}") for c in numbers])  # under 1 / HOT_SHARE rows
+    many = sums.where(F.col("rows") <= hot).select(F.struct(F.lit(0).cast("long").alias("at"), F.col(key).alias("key")).alias("__many"), *numbers)
+    met = rows.join(F.broadcast(few), rows[key] == few["__few"], "left")
+    # a hot row meets nothing in the second join, so its key there is anything that is even
+    own = F.struct(F.when(F.col("__few").isNull(), F.lit(0)).otherwise(F.col("__spread")).cast("long").alias("at"), F.when(F.col("__few").isNull(), F.col(key)).alias("key"))
+    met = met.withColumn("__own", own).join(many, F.col("__own") == F.col("__many"), "left")
+    return met.withColumns({c: F.coalesce(f"__few_{c}", c) for c in numbers}).drop("__few", "__many", "__own", *[f"__few_{c}" for c in numbers])
+
+
 def fuse(seen: DataFrame, languages: list[str]) -> DataFrame:
     """Evidence rows (keys, declared, suffix, host, likelihoods, has_text) with language and posterior; nothing is joined per pair of rows."""
     n = range(len(languages))
@@ -154,12 +195,13 @@ def fuse(seen: DataFrame, languages: list[str]) -> DataFrame:
     most = F.greatest(*[F.col(f"likelihood{i}") for i in n]) if len(languages) > 1 else F.col("likelihood0")
     whole = sum((F.exp(F.col(f"likelihood{i}") - most) for i in n), F.lit(0.0))
     shares = [F.when(F.col("has_text"), F.exp(F.col(f"likelihood{i}") - most) / whole).otherwise(F.lit(0.0)) for i in n]
-    grouped = {k: seen.groupBy(k).agg(*[F.sum(x).alias(f"{k}_{i}") for i, x in enumerate(shares)]) for k in ("host", "domain", "declared", "suffix")}
-    first = seen.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in shares], *[F.count_distinct(c) for c in ("declared", "suffix")]).first()
-    total, kinds = np.array(first[: len(languages)], dtype=float), dict(zip(("declared", "suffix"), first[len(languages) :], strict=True))
-    joined, levels = seen, tuple(grouped)
+    levels = ("host", "domain", "declared", "suffix")
+    grouped = {k: seen.groupBy(k).agg(F.count("*").alias("rows"), *[F.sum(x).alias(f"{k}_{i}") for i, x in enumerate(shares)]) for k in levels}
+    first = seen.agg(F.count("*"), *[F.coalesce(F.sum(x), F.lit(0.0)) for x in shares], *[F.count_distinct(c) for c in ("declared", "suffix")]).first()
+    rows, total, kinds = first[0], np.array(first[1 : len(languages) + 1], dtype=float), dict(zip(("declared", "suffix"), first[len(languages) + 1 :], strict=True))
+    joined = seen.withColumn("__spread", F.xxhash64(*[c for c in seen.columns if not c.startswith("likelihood")], "likelihood0"))
     for k, sums in grouped.items():
-        joined = joined.join(sums, k)
+        joined = with_sums(joined, k, sums, HOT_SHARE * rows)
     kept = [f for f in seen.schema.fields if not f.name.startswith("likelihood")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +226,7 @@ def identify(rows: DataFrame, model: TextModel, markup: bool = False) -> DataFra
 
 def page_rows(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return pages.select("page_id", F.col("html").alias("text"), F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)).alias("declared"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"), host.alias("host"))
+    return pages.select("page_id", F.col("html").alias("text"), F.lower(F.regexp_extract("html", r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)).alias("declared"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"), host.alias("host"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
