@@ -1,11 +1,13 @@
 """Each operator against brute force, and on awkward and empty tables."""
 
 import collections
+import concurrent.futures
 import hashlib
 import itertools
 import math
 import random
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -161,6 +163,48 @@ def test_store(spark, odd, tmp_path):
     assert empty.read().count() == 0 if empty.shards() else True
 
 
+def test_vacuum_spares_readers_and_writers(spark, odd, tmp_path):
+    store = sharding.Store(spark, f"file://{tmp_path}/s", target=60_000, fan_in=2)
+    for k in range(2):
+        store.append(odd.where(F.pmod(F.xxhash64("text"), F.lit(2)) == k))
+    old = store.read()
+    store.compact()
+    key = lambda df: sorted(map(str, df.select(*odd.columns).collect()))
+    assert key(old) == key(odd) and key(store.read(2)) == key(odd)  # a reader of the version before goes on
+    arrival = store._write(odd)  # an arrival that is written, but not yet committed
+    assert store.vacuum() == 0
+    store._commit([*store.shards(), *arrival], store.version())
+    assert store.read().count() == 2 * odd.count()
+    assert store.vacuum(grace=-10.0) > 0 and store.read().count() == 2 * odd.count()
+
+
+def test_one_of_two_writers_commits(spark, odd, tmp_path):
+    store = sharding.Store(spark, f"file://{tmp_path}/s")
+    store.append(odd)
+    one, two = store._write(odd), store._write(odd)
+    before = store.version()
+    with concurrent.futures.ThreadPoolExecutor(2) as pool:
+        tries = [pool.submit(store._commit, [*store.shards(before), *part], before) for part in (one, two)]
+    failed = [t.exception() for t in tries if t.exception()]
+    assert len(failed) == 1 and isinstance(failed[0], FileExistsError)
+    assert store.version() == before + 1 and store.read().count() == 2 * odd.count()
+
+
+def test_arrivals_of_other_columns(spark, tmp_path):
+    store = sharding.Store(spark, f"file://{tmp_path}/s", fan_in=2)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([(2, "b", 5)], "doc_id long, text string, more int"))
+    store.compact()
+    assert sorted(map(tuple, store.read().select("doc_id", "text", "more").collect())) == [(1, "a", None), (2, "b", 5)]
+
+
+def test_sharding_query(spark, sf, documents):
+    got = rows(sharding.query(spark, sf))
+    want = documents.select("doc_id", F.xxhash64("text").alias("h")).collect()
+    assert sorted((r["doc_id"], r["text_hash"]) for r in got) == sorted(map(tuple, want))
+    assert all(r["shard"] for r in got) and len({r["version"] for r in got}) == 1
+
+
 # 5
 
 
@@ -424,6 +468,58 @@ def test_language_evidence_decides_ties():
     assert p[0, 1] > 0.5 and p[1, 0] > 0.9 and p[2, 0] > 0.5 and np.allclose(p.sum(axis=1), 1)
 
 
+def test_fusion_equals_brute_force(spark, monkeypatch, odd, sf):
+    """All sums, priors and posteriors again, row by row in plain Python."""
+    model = language_id.fit_text(common.table(spark, sf, "documents"))
+    rng = random.Random(2)
+    hosts = ["a.x.com", "b.x.com", "x.com", "y.org", None, "é.de"]
+    plain = [(k, r["text"], rng.choice(["EN", "de", None, "fr"]), rng.choice(["com", "de", None]), rng.choice(hosts)) for k, r in enumerate(rows(odd.select("text")))]
+    table = spark.createDataFrame(plain, "row int, text string, declared string, suffix string, host string")
+    n, out = len(model.languages), []
+    for _, text, declared, suffix, host in plain:
+        own = model.likelihood(text or "")
+        share = np.exp(own) / np.exp(own).sum() if own is not None else np.zeros(n)
+        host = (host or "").lower()
+        parts = host.split(".")
+        domain = ".".join(parts[-2:]) if len(parts) > 1 and all(parts[-2:]) else ""
+        out.append((own, share, {"declared": (declared or "").lower(), "suffix": (suffix or "").lower(), "host": host, "domain": domain}))
+    want = []
+    for i, (own, _, keys) in enumerate(out):
+        if own is None:
+            want.append(("und", 0.0))
+            continue
+        others = lambda k, i=i, keys=keys: sum((s for j, (_, s, x) in enumerate(out) if j != i and x[k] == keys[k]), np.zeros(n))
+        total = sum(s for _, s, _ in out)
+        prior = (total + 1) / (total.sum() + n)
+        for k in ("domain", "host"):
+            prior = (others(k) + 5 * prior) / (others(k).sum() + 5)
+        value = np.array(own) + np.log(prior)
+        for k in ("declared", "suffix"):
+            value = value + np.log((others(k) + 1) / (total - out[i][1] + len({x[k] for _, _, x in out})))
+        p = np.exp(value - value.max())
+        want.append((model.languages[int(p.argmax())], float(p.max() / p.sum())))
+    for share in (1e-3, 0.2, 1.0):  # all values hot, some, none
+        monkeypatch.setattr(language_id, "HOT_SHARE", share)
+        got = {r["row"]: r for r in rows(language_id.identify(table, model))}
+        assert len(got) == len(plain)
+        for i, (language, posterior) in enumerate(want):
+            assert got[i]["language"] == language and math.isclose(got[i]["posterior"], posterior, rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_many_languages(spark):
+    data = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3} " * 20, f"l{i:03d}") for i in range(100)]
+    model = language_id.fit_text(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 100
+    assert all(model.languages[int(np.argmax(model.likelihood(t)))] == lang for _, t, lang in data)
+
+
+def test_visible_is_linear():
+    for mark in ("<script>", "<!-- ", "<style ", "< ", "</script  "):
+        began = time.perf_counter()
+        assert "é" in language_id.visible("&eacute; " + mark * 40_000)
+        assert time.perf_counter() - began < 2
+
+
 def test_language_stage(spark, odd, documents, sf):
     kept = language_id.keep_identified(spark, odd, sf)
     assert kept.dtypes == odd.dtypes and not {100, 101, 102} & {r["doc_id"] for r in rows(kept)}
@@ -454,6 +550,33 @@ def test_toxicity_learns_pairs():
     assert raw([0, 1]) > 0 > max(raw([0, 3]), raw([2, 1]), raw([2, 3]))
 
 
+def test_scores_equal_brute_force(odd, labels):
+    """The machine's sum over all pairs of a text's kept terms, term by term."""
+    machine = toxicity.fit(odd, labels)
+    for text in [r["text"] for r in rows(odd.select("text")) if len(r["text"] or "") < 5000]:
+        kept = [int(machine.places[t]) for t in toxicity.terms_of([text])[1] if machine.places[t] >= 0]
+        raw = machine.bias + sum(float(machine.weights[i]) for i in kept)
+        raw += sum(float(machine.vectors[i] @ machine.vectors[j]) for i, j in itertools.combinations(kept, 2))
+        assert math.isclose(machine.scores([text])[0], 1 / (1 + math.exp(-raw)), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_toxicity_quality_on_held_out_rows(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest table has five toxic rows that are held out
+    truth = {r["doc_id"]: r["toxic"] for r in rows(spark.read.parquet(f"{sf}/labels.parquet")) if r["toxic"] is not None}
+    got = [(r["score"], truth[r["doc_id"]]) for r in rows(toxicity.query(spark, sf)) if r["held_out"] and r["doc_id"] in truth]
+    toxic, clean = [s for s, t in got if t], [s for s, t in got if not t]
+    if toxic and clean:
+        assert sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) > 0.9 * len(toxic) * len(clean)
+
+
+def test_clean_stage_on_awkward_rows(spark, odd, none, labels, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = toxicity.keep_clean(spark, odd, str(tmp_path))
+    scores = {(r["doc_id"], r["n"]): r["score"] for r in rows(toxicity.score(odd, toxicity.fit(odd, labels)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("score").alias("score")))}
+    assert kept.dtypes == odd.dtypes and {r["doc_id"] for r in rows(kept)} >= {i for (i, n), s in scores.items() if s < toxicity.THRESHOLD}
+    assert toxicity.keep_clean(spark, none, str(tmp_path)).count() == 0
+
+
 def test_toxicity_held_out(spark, documents, sf):
     got = {r["doc_id"]: r for r in rows(toxicity.query(spark, sf))}
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7) for i, r in got.items())

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +19,8 @@ ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopq
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package wherever the driver found it, and see to a checkpoint folder.
 
-    The cluster names the folder in spark.checkpoint.dir. Only where it is unset, as in local tests, a temporary one is made.
+    The cluster names the folder in spark.checkpoint.dir. Only where it is unset and Spark runs in this process, as in local tests, a
+    temporary one is made; elsewhere executors would not share it, so that is an error.
     """
     root = str(Path(__file__).resolve().parents[2])
     sc = spark.sparkContext
@@ -27,7 +28,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return spark
 
 
@@ -40,12 +44,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def delete_dir(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # a leftover scratch folder is harmless
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of bytes other than space and \\t\\n\\v\\f\\r, A-Z lower-cased; bytes.split() cuts at just these."""
     return text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
