@@ -187,17 +187,17 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def postings(rows: DataFrame, keys: list[Column], *columns: str) -> DataFrame:
-    """(list, columns): each row under its keys, lists whole and sorted within partitions. Keys of different lists may be equal."""
+    """(list, columns, at): each row under its keys, of which at is the number; lists whole and sorted within partitions. Keys of different numbers may be equal."""
     keyed = rows.select(F.posexplode(F.array(*keys)).alias("at", "key"), *columns)
     # by hash: two lists that fall together cost a few tallies and change no result
-    return keyed.select(F.xxhash64("at", "key").alias("list"), *columns).repartition("list").sortWithinPartitions("list", columns[0])
+    return keyed.select(F.xxhash64("at", "key").alias("list"), *columns, "at").repartition("list").sortWithinPartitions("list", columns[0])
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v): linked fingerprints out of a table of distinct ones; connectivity is that of all pairs within two bits."""
     masks = [sum(0xFF << (8 * p) for p in kept) for kept in LISTS]
     keys = [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks]
-    return postings(distinct, keys, "fp").mapInArrow(_linked, "u long, v long").distinct()
+    return postings(distinct, keys, "fp").drop("at").mapInArrow(_linked, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,8 @@ Bounds: a list of over SHORT members is not paired off. Its members, in order of
 a member with MOST candidates is done, so a large group of near copies gives links in line with its members; where over LONG are left
 after that, they are cut by pairs of positions so that every pair that reaches the minimum still meets. When these links are verified and
 their components known, an exact pass goes over the lists in which a member was done early: all candidate pairs whose ends are in
-different components are verified too. So no link is lost to MOST.
+different components are verified too, each in the first list that it is in (where that list went to its end, it has been verified).
+So no link is lost to MOST.
 
 Nulls and edge cases: a null text counts as empty; texts under five words have one shingle, the whole text, and match exactly; a null
 doc_id is one like any other, last in order; rows that repeat are copies.
@@ -41,7 +42,7 @@ CUTS = MIN_SHARED - 3
 SUBLISTS = [pair for g in range(CUTS) for pair in combinations(range(g, POSITIONS, CUTS), 2)]
 SHORT, HUBS, ROWS, LONG, MOST = 16, 512, 4096, 4096, 2
 #: Texts of so many bytes in all are broadcast to be verified; more are dealt with the pairs.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES, KEPT_BYTES = 16 << 20, 32 << 20
 #: So many lists that stopped early are broadcast.
 EARLY = 100_000
 STREAMS = np.array([0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(POSITIONS // 8)], dtype=np.uint64)
@@ -165,6 +166,12 @@ def across(marks: np.ndarray, label: np.ndarray) -> Iterator[np.ndarray]:
             yield np.stack([some[i], others[j]], axis=1)
 
 
+def first_list(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of the first list in which each pair of rows meets."""
+    same = a == b
+    return np.argmax(same[:, [p for p, _ in LISTS]] & same[:, [q for _, q in LISTS]], axis=1)
+
+
 def _pairs(node: np.ndarray, marks: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
     """Nodes u < v and their differing bits."""
     places = np.concatenate([np.zeros((0, 2), dtype=np.int64), *found])
@@ -192,23 +199,34 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in near_dedup.whole_lists(batches):
-        key, node, marks, label = table.column(0).to_numpy(), table.column(1).to_numpy(), marks_of(table.column(2)), table.column(3).to_numpy()
+        key, node, marks, label, at = table.column(0).to_numpy(), table.column(1).to_numpy(), marks_of(table.column(2)), table.column(3).to_numpy(), table.column(4).to_numpy()
         for a, n in zip(*near_dedup.runs(key), strict=True):
             for part in across(marks[a : a + n], label[a : a + n]):
-                u, v, _ = _pairs(node[a : a + n], marks[a : a + n], [part])
+                own = part[first_list(marks[a + part[:, 0]], marks[a + part[:, 1]]) == at[a]]
+                u, v, _ = _pairs(node[a : a + n], marks[a : a + n], [own])
                 yield pa.RecordBatch.from_arrays([pa.array(u.copy()), pa.array(v.copy())], ["u", "v"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs come sorted by u, so its shingles are often those of the row before."""
-    last, x = None, np.zeros(0, dtype=np.uint64)
+    """Pairs come sorted by u. Shingles of texts are kept while they take KEPT_BYTES or less."""
+    known: dict[str, np.ndarray] = {}
+    held = 0
+
+    def of(text: str) -> np.ndarray:
+        nonlocal held
+        if (found := known.get(text)) is None:
+            if held > KEPT_BYTES:
+                known.clear()
+                held = 0
+            found = known[text] = shingles(common.words_of(text))
+            held += found.nbytes + 4 * len(text)
+        return found
+
     for batch in batches:
         good = []
         for at, texts in common.texts_of(batch.column(2)):
             for a, b in zip(texts, batch.column(3).slice(at, len(texts)).to_pylist(), strict=True):
-                if a != last:
-                    last, x = a, shingles(common.words_of(a))
-                y = shingles(common.words_of(b))
+                x, y = of(a), of(b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= SIMILAR * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
