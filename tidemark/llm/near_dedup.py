@@ -186,11 +186,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
 
 
-def postings(rows: DataFrame, keys: list[Column], *columns: str) -> DataFrame:
-    """(list, columns, at): each row under its keys, of which at is the number; lists whole and sorted within partitions. Keys of different numbers may be equal."""
-    keyed = rows.select(F.posexplode(F.array(*keys)).alias("at", "key"), *columns)
+def postings(rows: DataFrame, keys: list[Column], *columns: str, only: DataFrame | None = None) -> DataFrame:
+    """(list, columns, at): each row under its keys, of which at is the number; lists whole and sorted within partitions. Keys of different numbers may be equal.
+
+    only: the lists that are wanted, (list); the others are left out before anything is dealt.
+    """
     # by hash: two lists that fall together cost a few tallies and change no result
-    return keyed.select(F.xxhash64("at", "key").alias("list"), *columns, "at").repartition("list").sortWithinPartitions("list", columns[0])
+    keyed = rows.select(F.posexplode(F.array(*keys)).alias("at", "key"), *columns).select(F.xxhash64("at", "key").alias("list"), *columns, "at")
+    if only is not None:
+        keyed = keyed.join(only, "list", "left_semi")
+    return keyed.repartition("list").sortWithinPartitions("list", columns[0])
 
 
 def links(distinct: DataFrame) -> DataFrame:

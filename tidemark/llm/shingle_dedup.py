@@ -238,9 +238,9 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_dedup.text_key().alias("key"), "text").mapInArrow(_nodes, "doc_id long, key long, node long, print binary").checkpoint()
 
 
-def _lists(prints: DataFrame, *more: str) -> DataFrame:
+def _lists(prints: DataFrame, *more: str, only: DataFrame | None = None) -> DataFrame:
     keys = [F.concat(F.substring("print", p + 1, 1), F.substring("print", q + 1, 1)) for p, q in LISTS]
-    return near_dedup.postings(prints, keys, "node", "print", *more)
+    return near_dedup.postings(prints, keys, "node", "print", *more, only=only)
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -284,8 +284,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # the exact pass: candidate pairs between components in the lists that stopped early, less those that are verified
     root = components.roots(spark, good)
     labelled = prints.join(root, "node", "left").select("node", "print", F.coalesce("root", "node").alias("label"))
-    again = _lists(labelled, "label").join(F.broadcast(early) if early.count() <= EARLY else early, "list", "left_semi")
-    again = again.repartition("list").sortWithinPartitions("list", "node")
+    again = _lists(labelled, "label", only=F.broadcast(early) if early.count() <= EARLY else early)
     more = again.mapInArrow(_across, "u long, v long").distinct()
     more = more.join(pairs.where("n = 1").select("u", "v").unionByName(rest), ["u", "v"], "left_anti").checkpoint()
     return good if more.isEmpty() else good.unionByName(verified(more, texts_of(more)))
