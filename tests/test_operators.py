@@ -13,8 +13,11 @@ from tidemark.operators import backtest as B
 from tidemark.operators import features as V
 from tidemark.operators import grid as G
 from tidemark.operators import labels as L
+from tidemark.operators import models as D
+from tidemark.operators import patterns as P
 from tidemark.operators import state as T
 from tidemark.operators import stats as M
+from tidemark.sources import synthetic as Y
 from tidemark.operators import windows as X
 from tidemark.sources import tables as S
 
@@ -30,20 +33,46 @@ def bars(spark, closes, highs=None, lows=None, opens=None, symbol="A"):
     return spark.createDataFrame(rows, BAR)
 
 
-@pytest.mark.parametrize(
-    "highs, lows, opens, closes, want",
-    [
-        ([101, 102.5, 0], [100, 100, 0], [100, 100, 0], [100, 102, 0], ("target", 2, 0.018)),
-        ([98, 0, 0], [96, 0, 0], [97, 0, 0], [97, 0, 0], ("stop", 1, -0.032)),
-        ([105, 0, 0], [95, 0, 0], [100, 0, 0], [100, 0, 0], ("stop", 1, -0.012)),
-        ([100.4, 100.6, 100.7], [99.8, 99.9, 100], [100, 100, 100], [100.2, 100.4, 100.5], ("timeout", 3, 0.003)),
-    ],
-)
-def test_replay(spark, highs, lows, opens, closes, want):
-    fill = lambda xs: [100.0, *(float(x) for x in xs)]
-    df = bars(spark, fill(closes), fill(highs), [100.0, *map(float, lows)], fill(opens))
-    r = L.replay(df, 0.02, 0.01, 0.001, 3).orderBy("ts").first()
-    assert (r["outcome"], r["bars_held"]) == want[:2] and r["net"] == pytest.approx(want[2], abs=1e-9)
+def replayed(bars_, reward, risk, cost, most, long):
+    """The plan walked bar by bar."""
+    out, side = [], 1 if long else -1
+    for i in range(len(bars_) - most):
+        entry = bars_[i][3]
+        target, stop = entry * (1 + side * reward), entry * (1 - side * risk)
+        for k, (o, h, lo, c) in enumerate(bars_[i + 1 : i + most + 1], 1):
+            if (lo <= stop) if long else (h >= stop):
+                kind, price = "stop", (min if long else max)(o, stop)
+            elif (h >= target) if long else (lo <= target):
+                kind, price = "target", target
+            elif k == most:
+                kind, price = "timeout", c
+            else:
+                continue
+            out.append((kind, k, side * (price / entry - 1) - 2 * cost, side * (c / entry - 1) - 2 * cost))
+            break
+    return out
+
+
+@pytest.mark.parametrize("long", [True, False])
+def test_replay(spark, long):
+    rng = random.Random(21)
+    series, last = [], 50.0
+    for _ in range(120):
+        opened = last * (1 + rng.choice([0, 0, 0.001, -0.03, 0.03]))
+        last = opened * (1 + rng.gauss(0, 0.01))
+        series.append((opened, max(opened, last) * 1.004, min(opened, last) * 0.996, last))
+    o, h, lo, c = map(list, zip(*series, strict=True))
+    got = [tuple(r) for r in L.replay(bars(spark, c, h, lo, o), 0.025, 0.02, 0.0005, 3, long).orderBy("ts").select("outcome", "bars_held", "net", "hold_net").collect()]
+    want = replayed(series, 0.025, 0.02, 0.0005, 3, long)
+    assert [g[:2] for g in got] == [x[:2] for x in want] and {g[0] for g in got} == {"stop", "target", "timeout"}
+    assert np.allclose([g[2:] for g in got], [x[2:] for x in want])
+
+
+def test_side_of():
+    assert L.side_of(10, 9, 12) == "long" and L.side_of(10, 12, 9) == "short"
+    for bad in ((10, 11, 12), (10, 10, 12), (10, 9, -1), (10, 9, float("nan"))):
+        with pytest.raises(ValueError):
+            L.side_of(*bad)
 
 
 def test_full_windows_only(spark):
@@ -84,16 +113,24 @@ def test_edge_rule(spark):
     assert [r[0] for r in df.select(B.from_edge(F.col("p"), F.col("s"), F.lit(0.002), 0.0, True)).collect()] == [0, 1, -1]
 
 
-def test_costs_with_gap(spark):
-    rows = [("A", T0 + dt.timedelta(hours=h), p, 0.0) for h, p in zip((0, 1, 5), (1, 1, 1), strict=True)]
-    sim = B.simulate(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, pos int, fwd_ret double"), B.CostModel("spot_taker"), 60)
-    assert sim.agg(F.sum("cost")).first()[0] == pytest.approx(4 * 13e-4)
-
-
-def test_turnover_and_funding(spark):
-    rows = [("A", T0 + dt.timedelta(hours=h), p, 0.0) for h, p in enumerate((1, 1, 0, -1, -1, 1))]
-    sim = B.simulate(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, pos int, fwd_ret double"), B.CostModel("perp_taker"), 60)
-    assert sim.agg(F.sum("cost")).first()[0] == pytest.approx(6 * 8e-4 + 3 * 1e-4 / 8)
+@pytest.mark.parametrize("kind", ["spot_taker", "perp_taker"])
+def test_costs_are_the_sequential_rule(spark, kind):
+    rng = random.Random(31)
+    hours, at = [], 0
+    for _ in range(60):
+        at += rng.choice([1, 1, 1, 3])
+        hours.append((at, rng.choice([-1, 0, 1, 1])))
+    cost, one_side, an_hour = B.CostModel(kind), {"spot_taker": 13e-4, "perp_taker": 8e-4}[kind], {"spot_taker": 0.0, "perp_taker": 1e-4 / 8}[kind]
+    want, before, last = 0.0, 0, None
+    for k, (h, pos) in enumerate(hours):
+        pos = pos if cost.allow_short else max(pos, 0)
+        before = before if last == h - 1 else 0
+        closes = k + 1 == len(hours) or hours[k + 1][0] != h + 1
+        want += (abs(pos - before) + closes * abs(pos)) * one_side + max(pos, 0) * an_hour
+        before, last = pos, h
+    rows = [("A", T0 + dt.timedelta(hours=h), p, 0.0) for h, p in hours]
+    sim = B.simulate(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, pos int, fwd_ret double"), cost, 60)
+    assert sim.agg(F.sum("cost")).first()[0] == pytest.approx(want)
 
 
 def test_hysteresis_is_the_sequential_rule(spark):
@@ -207,3 +244,59 @@ def test_entry_imports_without_a_session():
     import importlib
 
     assert "bars_resample" in importlib.import_module("__spark_entry__").queries()
+
+
+def test_cumulated_and_halo_are_the_global_ones(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 16)
+    rng = random.Random(5)
+    xs = [(i, T0 + dt.timedelta(hours=i), rng.gauss(0, 1)) for i in range(200)]
+    df = spark.createDataFrame(xs, "k long, ts timestamp_ntz, v double").repartition(5)
+    got = sorted(map(tuple, M.cumulated(df.withColumns({"a": F.col("v"), "b": F.col("v")}), "ts", sums=["v"], tops=["a"], lows=["b"]).select("k", "run_v", "run_a", "run_b").collect()))
+    v = np.array([x[2] for x in xs])
+    assert np.allclose(got, np.stack([np.arange(200), v.cumsum(), np.maximum.accumulate(v), np.minimum.accumulate(v[::-1])[::-1]], axis=1))
+    d = v - v.mean()
+    want = (d @ d + sum(2 * (1 - k / 6) * (d[k:] @ d[:-k]) for k in range(1, 6))) / 200
+    assert M.newey_west(df, "v", 5).first()["variance"] == pytest.approx(want)
+
+
+def test_holm_and_bh_of_many_with_ties(spark):
+    rng = random.Random(6)
+    ps = [round(rng.random() ** 3, 2) for _ in range(300)]
+    got = {r["p"]: (r["holm"], r["bh"]) for r in M.holm_bh(spark.createDataFrame([(p,) for p in ps], "p double")).collect()}
+    order, m, top = sorted(ps), len(ps), 0.0
+    for r, p in enumerate(order):
+        top = max(top, min(1.0, (m - r) * p))
+        assert got[p][0] >= top - 1e-9
+        assert got[p][1] == pytest.approx(min(1.0, *[q * m / (k + 1) for k, q in enumerate(order) if k >= r]))
+    assert got[order[0]][0] == pytest.approx(min(1.0, m * order[0]))
+
+
+def test_calibration_by_folds(spark):
+    rng = random.Random(9)
+    rows = [(k // 300, k, float(rng.random() < 1 / (1 + math.exp(-z))), 1 / (1 + math.exp(-3 * z))) for k, z in ((k, rng.gauss(0, 1)) for k in range(900))]
+    pred = spark.createDataFrame(rows, "fold int, ts long, y double, p double")
+    for method in ("platt", "isotonic", "none"):
+        got = D.calibrated(pred, method).toPandas()
+        assert len(got) == 900 and np.allclose(got[got.fold == 0].p, got[got.fold == 0].p_raw.clip(1e-6, 1 - 1e-6))
+        late = got[got.fold == 2]
+        loss = lambda p, late=late: -(late.y * np.log(p) + (1 - late.y) * np.log(1 - p)).mean()
+        assert (loss(late.p) < loss(late.p_raw.clip(1e-6, 1 - 1e-6))) == (method != "none")
+    done = D.decided(D.calibrated(pred)).toPandas()
+    assert not done[done.fold == 0].pos.any() and done[done.fold == 2].skilled.all() and done[done.fold == 2].pos.any()
+
+
+def test_turns_and_patterns():
+    closes = np.array([10, 11, 13, 12, 9, 8, 9, 12, 16, 12, 9, 8.05, 9, 12, 13.05, 12, 10, 9, 8, 7], dtype=float)
+    turns = P._extrema(closes, closes)
+    assert [(k, i) for k, i, _ in turns] == [(1, 2), (-1, 5), (1, 8), (-1, 11), (1, 14)] and P._pattern(turns) == -1
+    assert P._pattern(P._extrema(20 - closes, 20 - closes)) in (0, 1)
+    assert P._extrema(closes[:16], closes[:16])[-1][1] == 11  # the last bars do not confirm a turn
+
+
+def test_synthetic_series(spark):
+    long, short = (Y.candles(spark, n, ("A", "B")).toPandas() for n in (300, 100))
+    for name, own in long.groupby("symbol"):
+        tail = short[short.symbol == name]
+        assert np.allclose(own.tail(100).close.to_numpy(), tail.close.to_numpy()) and len(tail) == 100
+        assert (own.high >= own[["open", "close"]].max(axis=1)).all() and (own.low <= own[["open", "close"]].min(axis=1)).all()
+    assert Y.candles(spark, 10_050).count() == 10_050

@@ -89,11 +89,11 @@ def edge_verdict(p_value: Column, strategy: Column, hold: Column) -> Column:
 
 
 def toy_backtest(rows: DataFrame, every: int, fee: float) -> DataFrame:
-    """Every n-th row's position and return, a fee on each change, compounded. rows: k, pos, ret."""
-    order = Window.partitionBy(F.lit(1)).orderBy("k")
+    """Each symbol's every n-th row's position and return, a fee on each change, compounded. rows: symbol, k, pos, ret."""
+    order = Window.partitionBy("symbol").orderBy("k")
     x = rows.where(F.pmod(F.col("k"), F.lit(every)) == 0).withColumn("_step", F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(order), F.lit(0))))
     growth = 1 + F.col("pos") * F.col("ret") - F.col("_step") * fee
-    return x.agg(F.sum(F.col("_step")).alias("changes"), F.aggregate(F.array_sort(F.collect_list(F.struct("k", growth.alias("g")))), F.lit(1.0), lambda a, r: a * r["g"]).alias("growth")).select("changes", (F.col("growth") - 1).alias("total"))
+    return x.groupBy("symbol").agg(F.sum("_step").alias("changes"), (F.product(growth) - 1).alias("total"))
 
 
 def choose_threshold(table: DataFrame, least: int = 30, fallback: float = 0.5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +58,21 @@ def triple_barrier(bars: DataFrame, horizon: int, up: Column, down: Column) -> D
     return df.select("symbol", "ts", label.cast("int").alias("label"), ret.alias("tb_ret"), off.cast("int").alias("bars_held"))
 
 
+def side_of(entry: float, stop: float, target: float) -> str:
+    """long if the target is above the entry and the stop below, short the other way round; anything else is a ValueError."""
+    if not all(math.isfinite(v) and v > 0 for v in (entry, stop, target)):
+        raise ValueError("prices must be positive")
+    order = sorted([(stop, "stop"), (entry, "entry"), (target, "target")])
+    if len({entry, stop, target}) == 3 and order[1][1] == "entry":
+        return "long" if order[0][1] == "stop" else "short"
+    raise ValueError("the entry must lie between stop and target")
+
+
 def replay(bars: DataFrame, reward: float, risk: float, cost: float, most: int, long: bool = True) -> DataFrame:
     """A plan replayed from every row with a full window: target or stop, whichever comes first; a tie is the stop.
 
-    A gap through a level fills at the open; without a touch the position closes at the last close. Result net of both costs.
+    A gap through the stop fills at the open, the target at its level; without a touch the position closes at the last close. net is
+    after both costs, hold_net that of the same rows held without levels.
     """
     ahead = w().rowsBetween(1, most)
     df = bars.withColumn("_win", F.collect_list(F.struct("open", "high", "low", "close")).over(ahead)).where(F.size("_win") == most)
@@ -71,24 +84,28 @@ def replay(bars: DataFrame, reward: float, risk: float, cost: float, most: int,
     stop = (F.col("_s") > 0) & ((F.col("_t") == 0) | (F.col("_s") <= F.col("_t")))
     outcome = F.when(stop, "stop").when(F.col("_t") > 0, "target").otherwise("timeout")
     held = F.when(stop, F.col("_s")).when(F.col("_t") > 0, F.col("_t")).otherwise(F.lit(most))
-    opened = F.get(F.col("_win"), (held - 1).cast("int"))["open"]
-    worse, better = (F.least, F.greatest) if long else (F.greatest, F.least)
-    price = F.when(stop, worse(opened, F.col("_stop"))).when(F.col("_t") > 0, better(opened, F.col("_target"))).otherwise(F.get(F.col("_win"), F.lit(most - 1))["close"])
-    return df.select("symbol", "ts", outcome.alias("outcome"), held.cast("int").alias("bars_held"), (side * (price / F.col("close") - 1) - 2 * cost).alias("net"))
+    last = F.get(F.col("_win"), (held - 1).cast("int"))
+    worse = F.least if long else F.greatest
+    price = F.when(stop, worse(last["open"], F.col("_stop"))).when(F.col("_t") > 0, F.col("_target")).otherwise(last["close"])
+    net = lambda p: side * (p / F.col("close") - 1) - 2 * cost
+    return df.select("symbol", "ts", outcome.alias("outcome"), held.cast("int").alias("bars_held"), net(price).alias("net"), net(last["close"]).alias("hold_net"))
 
 
 def plan_summary(replayed: DataFrame, reward: float, risk: float, cost: float) -> DataFrame:
-    """Counts, win rate with two standard errors on overlap-adjusted trades, and the rates to beat."""
-    even = min(1.0, (risk + 2 * cost) / (reward + risk))
+    """Rates, mean results with two standard errors on overlap-adjusted trades, the comparison with holding, and a verdict on the mean."""
+    diff = F.col("net") - F.col("hold_net")
+    share = lambda name: F.avg((F.col("outcome") == name).cast("double"))
     agg = replayed.groupBy("symbol").agg(
-        F.count("*").alias("n"), F.count_if(F.col("outcome") == "target").alias("targets"), F.count_if(F.col("outcome") == "stop").alias("stops"), F.count_if(F.col("outcome") == "timeout").alias("timeouts"),
-        F.avg("bars_held").alias("avg_bars"), F.avg("net").alias("avg_net"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"),
+        F.count("*").alias("n"), share("target").alias("win_rate"), share("stop").alias("loss_rate"), share("timeout").alias("timeout_rate"), F.avg("bars_held").alias("avg_bars"), F.avg("net").alias("avg_net"),
+        F.median("net").alias("median_net"), F.avg((F.col("net") > 0).cast("double")).alias("share_profitable"), F.avg("hold_net").alias("hold_avg_net"), F.avg(diff).alias("levels_vs_hold"),
+        F.stddev_samp("net").alias("_sd"), F.stddev_samp(diff).alias("_sd_diff"),
     )
     n_eff = F.greatest(F.lit(1.0), F.col("n") / F.col("avg_bars"))
-    se = F.sqrt(F.col("win_rate") * (1 - F.col("win_rate")) / n_eff)
-    lo, hi = F.col("win_rate") - 2 * se, F.col("win_rate") + 2 * se
-    verdict = F.when(n_eff < 10, "NOT ENOUGH HISTORY").when(lo > even, "ABOVE BREAK-EVEN").when(hi < even, "BELOW BREAK-EVEN").otherwise("UNPROVEN")
-    return agg.select("*", n_eff.alias("n_eff"), se.alias("se"), F.lit(even).alias("break_even"), F.lit(risk / (reward + risk)).alias("random_walk"), verdict.alias("verdict"))
+    around = lambda mean, sd, k: F.col(mean) + 2 * k * F.col(sd) / F.sqrt(n_eff)
+    low, high, least = around("avg_net", "_sd", -1), around("avg_net", "_sd", 1), around("levels_vs_hold", "_sd_diff", -1)
+    verdict = F.when(n_eff < 10, "NOT ENOUGH HISTORY").when(high < 0, "LOSES ON AVERAGE").when(low > 0, "HELD UP IN THE PAST").otherwise("NO PROVEN EDGE")
+    out = agg.select("*", n_eff.alias("n_eff"), low.alias("avg_net_low"), high.alias("avg_net_high"), least.alias("levels_vs_hold_low"), around("levels_vs_hold", "_sd_diff", 1).alias("levels_vs_hold_high"))
+    return out.withColumns({"break_even": F.lit(break_even(reward, risk, cost)), "random_walk": F.lit(risk / (reward + risk)), "verdict": verdict}).drop("_sd", "_sd_diff")
 
 
 def break_even(reward: float, risk: float, cost: float) -> float:

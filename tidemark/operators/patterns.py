@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import math
 
 import numpy as np
@@ -68,27 +70,36 @@ def _smooth(y: np.ndarray) -> np.ndarray:
     return k @ y / k.sum(axis=1)
 
 
-def _extrema(smooth: np.ndarray) -> list[tuple[int, int]]:
-    """(position, +1 for a maximum or -1), alternating."""
-    d = np.sign(np.diff(smooth))
-    return [(i + 1, 1 if d[i] > 0 else -1) for i in range(len(d) - 1) if d[i] * d[i + 1] < 0]
+def _extrema(smooth: np.ndarray, closes: np.ndarray) -> list[tuple[int, int, float]]:
+    """(+1 for a maximum or -1, position, close), alternating.
+
+    A turn of the smoothed path stands for the most extreme close among its own and its two neighbouring bars. Turns whose close is one of
+    the last OLD_ENOUGH bars are not confirmed yet. Of turns of one kind in a row the most extreme counts, the first of equals.
+    """
+    slope = np.sign(np.diff(smooth))
+    turns = []
+    for i in np.flatnonzero(slope[:-1] * slope[1:] < 0) + 1:
+        kind = int(slope[i - 1])
+        at = int(i - 1 + np.argmax(kind * closes[i - 1 : i + 2]))
+        if at < len(closes) - OLD_ENOUGH:
+            turns.append((kind, at, float(closes[at])))
+    return [max(run, key=lambda t: t[0] * t[2]) for _, run in groupby(turns, key=lambda t: t[0])]
 
 
-def _pattern(prices: np.ndarray, ex: list[tuple[int, int]]) -> int:
-    """-1 for head and shoulders or a double top, +1 for their mirrors, 0 otherwise; judged on the last extrema."""
-    if not ex or len(prices) - 1 - ex[-1][0] < OLD_ENOUGH:
-        return 0
-    v = [float(prices[i]) for i, _ in ex]
-    if len(ex) >= 5:
-        side, a, b, c, d, e = ex[-5][1], *v[-5:]
-        near = lambda x, y: abs(x - y) <= TOLERANCE * (x + y) / 2
+def _pattern(turns: list[tuple[int, int, float]]) -> int:
+    """-1 for head and shoulders in the last five turns or a double top, +1 for their mirrors, 0 otherwise.
+
+    A double is the first turn of the window and the most extreme later one of its kind, more than APART bars on.
+    """
+    near = lambda x, y: abs(x - y) <= TOLERANCE * (x + y) / 2
+    if len(turns) >= 5:
+        side, (a, b, c, d, e) = turns[-5][0], [t[2] for t in turns[-5:]]
         if near(a, e) and near(b, d) and side * (c - a) > 0 and side * (c - e) > 0:
             return -side
-    last, side = ex[-1][0], ex[-1][1]
-    same = [(i, p) for (i, s), p in zip(ex[:-1], v[:-1], strict=True) if s == side and last - i > APART]
-    if same:
-        i, p = max(same, key=lambda x: side * x[1])
-        if abs(p - v[-1]) <= TOLERANCE * (p + v[-1]) / 2:
+    if turns:
+        side, at, price = turns[0]
+        later = [side * t[2] for t in turns[1:] if t[0] == side and t[1] - at > APART]
+        if later and near(price, side * max(later)):
             return -side
     return 0
 
@@ -106,7 +117,7 @@ def chart_patterns(bars: DataFrame) -> DataFrame:
             if end - 1 < free:
                 continue
             part = close[end - SPAN : end]
-            if signal := _pattern(part, _extrema(_smooth(part))):
+            if signal := _pattern(_extrema(_smooth(part), part)):
                 out.append((pdf["symbol"].iloc[0], pdf["ts"].iloc[end - 1], signal))
                 free = end - 1 + SPAN
         return pd.DataFrame(out, columns=["symbol", "ts", "signal"])

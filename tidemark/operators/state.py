@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import math
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -92,15 +94,20 @@ def cusum_limit(k: float, arl: float = 3000.0) -> float:
 def cooldown(events: DataFrame, gap: int, at: str = "k") -> DataFrame:
     """Of each symbol's events those at least `gap` after the last one kept. events: symbol, at (long) and payload columns.
 
-    Which event is kept depends on all before it, so events - sparse by nature - are folded in order, one array for each symbol.
+    Which event is kept depends on all before it, so events - sparse by nature - are walked in order, by a binary search for each kept one.
     """
-    payload = [c for c in events.columns if c != "symbol"]
-    rest = [c for c in payload if c != at]
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("_at"), *rest)))
-    kind = events.select(F.array(F.struct(F.col(at).cast("long").alias("_at"), *rest)).alias("a")).schema["a"].dataType.simpleString()
-    kept = F.aggregate("_es", F.array().cast(kind), lambda acc, x: F.when((F.size(acc) == 0) | (x["_at"] - F.get(acc, F.size(acc) - 1)["_at"] >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-    folded = events.groupBy("symbol").agg(ordered.alias("_es")).withColumn("_es", kept)
-    return folded.select("symbol", F.explode("_es").alias("_e")).select("symbol", F.col("_e._at").alias(at), *[F.col(f"_e.{c}").alias(c) for c in rest])
+    rest = [c for c in events.columns if c not in ("symbol", at)]
+    events = events.select("symbol", F.col(at).cast("long").alias(at), *rest)
+
+    def keep(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in (at, *rest)])
+        times, kept, i = group.column(at).to_numpy(), [], 0
+        while i < len(times):
+            kept.append(i)
+            i = max(i + 1, int(np.searchsorted(times, times[i] + gap)))
+        return group.take(pa.array(kept, pa.int64()))
+
+    return events.groupBy("symbol").applyInArrow(keep, events.schema)
 
 
 def trades(sim: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NORMAL = NormalDist()
+RANGES, BLOCK = 64, 1 << 16
 EULER = 0.5772156649015329
 
 
@@ -35,11 +36,43 @@ def ece(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.col("n") * F.abs(F.col("p_mean") - F.col("y_mean"))) / F.sum("n")).alias("ece"))
 
 
+def ranges(df: DataFrame, by: str) -> DataFrame:
+    """df with _part, the number of the range of `by` that a row is in: RANGES ranges of about as many rows each, null first."""
+    number = F.col(by).cast("timestamp").cast("double") if df.schema[by].dataType.typeName().startswith("timestamp") else F.col(by).cast("double")
+    cuts = df.agg(F.percentile_approx(number, [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []
+    return df.withColumn("_part", sum((F.coalesce(number > c, F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0)))
+
+
+def cumulated(df: DataFrame, by: str, sums: list[str] = (), tops: list[str] = (), lows: list[str] = ()) -> DataFrame:
+    """df with run_<c>: the sum or maximum of c over the rows up to a row in order of `by`, or the minimum over those from it on.
+
+    Ranges of `by` are worked off apart; what they hand on is a row each. Values of `by` should differ (a tie is cut at random).
+    """
+    parted = ranges(df, by)
+    up, down = (Window.partitionBy("_part").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in ([by], [F.desc(by)]))
+    before, after = (Window.partitionBy(F.lit(1)).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (["_part"], [F.desc("_part")]))
+    few = parted.groupBy("_part").agg(F.count("*").alias("_rows"), *[f(c).alias(f"_{c}") for f, own in ((F.sum, sums), (F.max, tops), (F.min, lows)) for c in own])  # RANGES rows
+    few = few.select("_part", *[F.sum(f"_{c}").over(before).alias(f"_{c}") for c in sums], *[F.max(f"_{c}").over(before).alias(f"_{c}") for c in tops], *[F.min(f"_{c}").over(after).alias(f"_{c}") for c in lows])
+    joined = parted.join(F.broadcast(few), "_part")
+    run = {f"run_{c}": F.sum(c).over(up) + F.coalesce(f"_{c}", F.lit(0)) for c in sums} | {f"run_{c}": F.greatest(F.max(c).over(up), f"_{c}") for c in tops} | {f"run_{c}": F.least(F.min(c).over(down), f"_{c}") for c in lows}
+    return joined.select(*df.columns, *[v.alias(k) for k, v in run.items()])
+
+
+def with_halo(df: DataFrame, by: str, rows: int) -> DataFrame:
+    """df in blocks of BLOCK rows in order of `by` (_block, _r the row's number), each begun by the `rows` rows before it (_halo)."""
+    parted = ranges(df, by)
+    few = parted.groupBy("_part").agg(F.count("*").alias("_n"))  # RANGES rows
+    few = few.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = parted.join(F.broadcast(few), "_part").withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1)
+    block, size = F.floor(F.col("_r") / max(BLOCK, rows)), max(BLOCK, rows)
+    both = F.when(F.pmod(F.col("_r"), F.lit(size)) >= size - rows, F.array(block, block + 1)).otherwise(F.array(block))
+    return numbered.withColumn("_block", F.explode(both)).withColumn("_halo", F.col("_block") != block).drop("_part", "_before")
+
+
 def auc(df: DataFrame) -> DataFrame:
     """Area under the curve with ties, from counts per value: rows are aggregated by p before anything is ordered."""
     by_p = df.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = Window.partitionBy(F.lit(1)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # different values of p only
-    run = by_p.withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    run = cumulated(by_p, "p", sums=["neg"]).withColumn("lower", F.col("run_neg") - F.col("neg"))
     total = run.agg(F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     return total.select(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("u") / (F.col("a") * F.col("b"))).alias("auc"))
 
@@ -85,15 +118,18 @@ def lags_for(n: int) -> int:
 
 def newey_west(df: DataFrame, column: str, lags: int, by: str | None = None) -> DataFrame:
     """(n, mean, variance) of a series in order of ts: Bartlett-weighted autocovariances of the demeaned values."""
-    key = by or "_all"
-    df = df if by else df.withColumn("_all", F.lit(1))
-    order = Window.partitionBy(key).orderBy("ts")
-    x = df.where(F.col(column).isNotNull()).select(key, "ts", F.col(column).alias("x"))
-    x = x.join(x.groupBy(key).agg(F.avg("x").alias("m"), F.count("*").alias("n")), key).withColumn("d", F.col("x") - F.col("m"))
+    if by:
+        key, order = by, Window.partitionBy(by).orderBy("ts")
+        x = df.where(F.col(column).isNotNull()).select(key, "ts", F.col(column).alias("x"), F.lit(False).alias("_halo"))
+    else:
+        key, order = "_all", Window.partitionBy("_block").orderBy("_r")
+        x = with_halo(df.where(F.col(column).isNotNull()).select("ts", F.col(column).alias("x")), "ts", lags).withColumn("_all", F.lit(1))
+    means = x.where("NOT _halo").groupBy(key).agg(F.avg("x").alias("m"), F.count("*").alias("n"))
+    x = x.join(means if by else F.broadcast(means), key).withColumn("d", F.col("x") - F.col("m"))
     terms = F.col("d") * F.col("d")
     for k in range(1, lags + 1):
         terms = terms + 2 * (1 - k / (lags + 1)) * F.coalesce(F.col("d") * F.lag("d", k).over(order), F.lit(0.0))
-    out = x.withColumn("t", terms).groupBy(key).agg(F.max("n").alias("n"), F.max("m").alias("mean"), (F.sum("t") / F.max("n")).alias("variance"))
+    out = x.withColumn("t", terms).where("NOT _halo").groupBy(key).agg(F.max("n").alias("n"), F.max("m").alias("mean"), (F.sum("t") / F.max("n")).alias("variance"))
     return out if by else out.drop("_all")
 
 
@@ -122,15 +158,15 @@ def hac_ols(df: DataFrame, y: str, xs: list[str], lags: int) -> tuple[np.ndarray
     beta = np.linalg.solve(gram, np.array(g[len(pairs) : len(pairs) + k]))
     u = F.col("_y") - sum((float(b) * F.col(c) for b, c in zip(beta, cols, strict=True)), F.lit(0.0))
     d = d.withColumn("_u", u)
-    order = Window.partitionBy(F.lit(1)).orderBy("ts")
+    order = Window.partitionBy("_block").orderBy("_r")
     score = {c: F.col(c) * F.col("_u") for c in cols}
-    d = d.select("ts", *[s.alias(f"s{i}") for i, s in enumerate(score.values())])
+    d = with_halo(d.select("ts", *[s.alias(f"s{i}") for i, s in enumerate(score.values())]), "ts", lags)
     sums, at = [], []
     for lag in range(lags + 1):
         for i in range(k):
             for j in range(k):
                 d = d.withColumn(f"p{lag}_{i}_{j}", F.col(f"s{i}") * (F.col(f"s{j}") if not lag else F.lag(f"s{j}", lag).over(order)))
-                sums.append(F.sum(f"p{lag}_{i}_{j}"))
+                sums.append(F.sum(F.when(~F.col("_halo"), F.col(f"p{lag}_{i}_{j}"))))
                 at.append((lag, i, j))
     s = np.zeros((k, k))
     for (lag, i, j), v in zip(at, d.agg(*sums).first(), strict=True):
@@ -143,12 +179,21 @@ def hac_ols(df: DataFrame, y: str, xs: list[str], lags: int) -> tuple[np.ndarray
 
 
 def holm_bh(df: DataFrame, p: str = "p") -> DataFrame:
-    """Holm and Benjamini-Hochberg adjusted p-values: running extremes over ranked values (hundreds of rows)."""
-    all_ = Window.partitionBy(F.lit(1))
-    up = all_.orderBy(p, *[c for c in df.columns if c != p])
-    df = df.withColumns({"_m": F.count("*").over(all_), "_r": F.row_number().over(up)})
-    df = df.withColumns({"_h": F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(p)), "_b": F.col(p) * F.col("_m") / F.col("_r")})
-    return df.withColumns({"holm": F.max("_h").over(up.rowsBetween(Window.unboundedPreceding, 0)), "bh": F.least(F.lit(1.0), F.min("_b").over(up.rowsBetween(0, Window.unboundedFollowing)))}).drop("_m", "_r", "_h", "_b")
+    """Holm and Benjamini-Hochberg adjusted p-values: running extremes over the different values; ties share theirs."""
+    by_p = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_k"))
+    m = F.broadcast(by_p.agg(F.sum("_k").alias("_m")))
+    ranked = cumulated(by_p, p, sums=["_k"]).join(m)
+    ranked = ranked.withColumns({"_h": F.least(F.lit(1.0), (F.col("_m") - F.col("run__k") + F.col("_k")) * F.col(p)), "_b": F.col(p) * F.col("_m") / F.col("run__k")})
+    run = cumulated(ranked, p, tops=["_h"], lows=["_b"])
+    return df.join(run.select(p, F.col("run__h").alias("holm"), F.least(F.lit(1.0), "run__b").alias("bh")), p, "left").select(*df.columns, "holm", "bh")
+
+
+def has_skill(df: DataFrame, base_rate: float, alpha: float = 0.10) -> bool:
+    """Whether the log loss of p (ts, y, p) is below that of the base rate by a one-sided Diebold-Mariano test at level alpha."""
+    loss = lambda q: -(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))
+    clipped = lambda q: F.greatest(F.least(q, F.lit(1 - 1e-6)), F.lit(1e-6))
+    gain, p_value = diebold_mariano(df.select("ts", loss(clipped(F.lit(float(base_rate)))).alias("a"), loss(clipped(F.col("p"))).alias("b")), "a", "b")
+    return bool(gain > 0 and p_value < alpha)
 
 
 def pbo(df: DataFrame, blocks: int = 6) -> DataFrame:

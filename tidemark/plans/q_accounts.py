@@ -76,10 +76,10 @@ def ledger_returns_matrix(spark, sf):
     return rounded(A.ledger_matrix(r, names))
 
 
-@query(f"{_SIM}, k AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS k, pos, gross FROM sim WHERE symbol = 'click'), q AS (SELECT k, CASE WHEN pos = 0 THEN 0 ELSE gross / pos END AS ret, pos FROM k WHERE k % 4 = 0), d AS (SELECT *, abs(pos - coalesce(lag(pos) OVER (ORDER BY k), 0)) AS step FROM q) SELECT CAST(sum(step) AS DOUBLE) AS changes, round(product(1 + pos * ret * 0.1 - step * 0.001) - 1, 6) AS total FROM d")
+@query(f"{_SIM}, k AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS k, pos, gross FROM sim), q AS (SELECT symbol, k, CASE WHEN pos = 0 THEN 0 ELSE gross / pos END AS ret, pos FROM k WHERE k % 4 = 0), d AS (SELECT *, abs(pos - coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY k), 0)) AS step FROM q) SELECT symbol, CAST(sum(step) AS DOUBLE) AS changes, round(product(1 + pos * ret * 0.1 - step * 0.001) - 1, 6) AS total FROM d GROUP BY symbol")
 def toy_backtest(spark, sf):
-    order = Window.partitionBy(F.lit(1)).orderBy("ts")
-    x = _sim(spark, sf).where("symbol = 'click'").select((F.row_number().over(order) - 1).alias("k"), "pos", (F.when(F.col("pos") == 0, 0.0).otherwise(F.col("gross") / F.col("pos")) * 0.1).alias("ret"))
+    order = Window.partitionBy("symbol").orderBy("ts")
+    x = _sim(spark, sf).select("symbol", (F.row_number().over(order) - 1).alias("k"), "pos", (F.when(F.col("pos") == 0, 0.0).otherwise(F.col("gross") / F.col("pos")) * 0.1).alias("ret"))
     return rounded(A.toy_backtest(x, 4, 0.001))
 
 

@@ -187,18 +187,20 @@ _REPLAY = f"""WITH {Q.DAILY}, n AS (SELECT *, row_number() {_w} AS k, count(*) O
        FROM n a JOIN n b ON b.symbol = a.symbol AND b.k > a.k AND b.k <= a.k + 6 GROUP BY 1, 2),
  u AS (SELECT n.symbol, n.ts, n.close, n.k, CASE WHEN fs IS NOT NULL AND (ft IS NULL OR fs <= ft) THEN 'stop' WHEN ft IS NOT NULL THEN 'target' ELSE 'timeout' END AS outcome, ft, fs, last FROM n JOIN t ON t.symbol = n.symbol AND t.k = n.k WHERE n.k + 6 <= n.m),
  v AS (SELECT *, CASE outcome WHEN 'stop' THEN fs WHEN 'target' THEN ft ELSE 6 END AS held FROM u),
- x AS (SELECT v.symbol, v.ts, outcome, CAST(held AS INTEGER) AS bars_held, CASE outcome WHEN 'stop' THEN least(b.open, v.close * 0.7) WHEN 'target' THEN greatest(b.open, v.close * 1.6) ELSE v.last END / v.close - 1 - 0.002 AS net FROM v JOIN n b ON b.symbol = v.symbol AND b.k = v.k + v.held)"""
+ x AS (SELECT v.symbol, v.ts, outcome, CAST(held AS INTEGER) AS bars_held, CASE outcome WHEN 'stop' THEN least(b.open, v.close * 0.7) WHEN 'target' THEN v.close * 1.6 ELSE v.last END / v.close - 1 - 0.002 AS net, b.close / v.close - 1 - 0.002 AS hold_net FROM v JOIN n b ON b.symbol = v.symbol AND b.k = v.k + v.held)"""
 
 
-@query(f"{_REPLAY} SELECT symbol, ts, outcome, bars_held, round(net, 6) AS net FROM x")
+@query(f"{_REPLAY} SELECT symbol, ts, outcome, bars_held, round(net, 6) AS net, round(hold_net, 6) AS hold_net FROM x")
 def plan_replay(spark, sf):
     return rounded(L.replay(S.daily(spark, sf), 0.6, 0.3, 0.001, 6))
 
 
-@query(f"""{_REPLAY}, s AS (SELECT symbol, count(*) AS n, count(*) FILTER (outcome = 'target') AS targets, count(*) FILTER (outcome = 'stop') AS stops, count(*) FILTER (outcome = 'timeout') AS timeouts, avg(bars_held) AS avg_bars, avg(net) AS avg_net, avg((net > 0)::INT) AS win_rate FROM x GROUP BY symbol),
- z AS (SELECT *, greatest(1.0, n / avg_bars) AS n_eff, sqrt(win_rate * (1 - win_rate) / greatest(1.0, n / avg_bars)) AS se FROM s)
-SELECT symbol, n, targets, stops, timeouts, round(avg_bars, 6) AS avg_bars, round(avg_net, 6) AS avg_net, round(win_rate, 6) AS win_rate, round(n_eff, 6) AS n_eff, round(se, 6) AS se, round(0.302 / 0.9, 6) AS break_even, round(0.3 / 0.9, 6) AS random_walk,
- CASE WHEN n_eff < 10 THEN 'NOT ENOUGH HISTORY' WHEN win_rate - 2 * se > 0.302 / 0.9 THEN 'ABOVE BREAK-EVEN' WHEN win_rate + 2 * se < 0.302 / 0.9 THEN 'BELOW BREAK-EVEN' ELSE 'UNPROVEN' END AS verdict FROM z""")
+@query(f"""{_REPLAY}, s AS (SELECT symbol, count(*) AS n, avg((outcome = 'target')::INT) AS win_rate, avg((outcome = 'stop')::INT) AS loss_rate, avg((outcome = 'timeout')::INT) AS timeout_rate, avg(bars_held) AS avg_bars, avg(net) AS avg_net, median(net) AS median_net,
+   avg((net > 0)::INT) AS share_profitable, avg(hold_net) AS hold_avg_net, avg(net - hold_net) AS levels_vs_hold, 2 * stddev_samp(net) AS e, 2 * stddev_samp(net - hold_net) AS d, greatest(1.0, count(*) / avg(bars_held)) AS n_eff FROM x GROUP BY symbol),
+ z AS (SELECT * REPLACE (e / sqrt(n_eff) AS e, d / sqrt(n_eff) AS d) FROM s)
+SELECT symbol, n, round(win_rate, 6) AS win_rate, round(loss_rate, 6) AS loss_rate, round(timeout_rate, 6) AS timeout_rate, round(avg_bars, 6) AS avg_bars, round(avg_net, 6) AS avg_net, round(median_net, 6) AS median_net, round(share_profitable, 6) AS share_profitable,
+ round(hold_avg_net, 6) AS hold_avg_net, round(levels_vs_hold, 6) AS levels_vs_hold, round(n_eff, 6) AS n_eff, round(avg_net - e, 6) AS avg_net_low, round(avg_net + e, 6) AS avg_net_high, round(levels_vs_hold - d, 6) AS levels_vs_hold_low, round(levels_vs_hold + d, 6) AS levels_vs_hold_high,
+ round(0.302 / 0.9, 6) AS break_even, round(0.3 / 0.9, 6) AS random_walk, CASE WHEN n_eff < 10 THEN 'NOT ENOUGH HISTORY' WHEN avg_net + e < 0 THEN 'LOSES ON AVERAGE' WHEN avg_net - e > 0 THEN 'HELD UP IN THE PAST' ELSE 'NO PROVEN EDGE' END AS verdict FROM z""")
 def plan_summary(spark, sf):
     return rounded(L.plan_summary(L.replay(S.daily(spark, sf), 0.6, 0.3, 0.001, 6), 0.6, 0.3, 0.001))
 

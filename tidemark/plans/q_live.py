@@ -166,6 +166,22 @@ def ml_calibrate(spark, sf):
     return ML.calibrated(ML.walk_forward(ML.quality_features(spark, sf), 4))
 
 
+@query()
+def ml_calibrate_isotonic(spark, sf):
+    return ML.calibrated(ML.walk_forward(ML.quality_features(spark, sf), 4), "isotonic")
+
+
+@query()
+def ml_walk_forward_decisions(spark, sf):
+    """Fit, calibrate, gate and decide, fold by fold."""
+    return ML.decided(ML.calibrated(ML.walk_forward(ML.quality_features(spark, sf), 4)))
+
+
+@query()
+def ml_perceptron_walk_forward(spark, sf):
+    return ML.walk_forward(ML.quality_features(spark, sf), 2, "perceptron")
+
+
 @query()
 def ml_forest_importance(spark, sf):
     return ML.permutation_importance(ML.quality_features(spark, sf))

@@ -97,13 +97,13 @@ def hac_ols(spark, sf):
     return spark.createDataFrame([tuple(round(float(b), 5) for b in beta) + (n,)], "alpha double, beta_a double, beta_b double, n long")
 
 
-_PV = "pv AS (SELECT c_custkey AS id, round((c_acctbal + 1000) / 11000.0, 6) AS p FROM customer WHERE c_custkey <= 200)"
+_PV = "pv AS (SELECT c_custkey AS id, round((c_acctbal + 1000) / 11000.0, 6) AS p FROM customer)"
 
 
 @query(f"""WITH {_PV}, r AS (SELECT id, p, row_number() OVER (ORDER BY p, id) AS r, count(*) OVER () AS m FROM pv)
 SELECT id, p, round(max(least(1, (m - r + 1) * p)) OVER (ORDER BY r), 6) AS holm, round(least(1, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS bh FROM r""")
 def holm_bh(spark, sf):
-    c = S.table(spark, sf, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("id"), F.round((F.col("c_acctbal") + 1000) / 11000.0, 6).alias("p"))
+    c = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.round((F.col("c_acctbal") + 1000) / 11000.0, 6).alias("p"))
     return rounded(M.holm_bh(c))
 
 

@@ -17,8 +17,11 @@ WATERMARK = "3 minutes"
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder for checkpoints and outputs: the shared one the cluster names, a temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
+    """A folder for checkpoints and outputs: the shared one the cluster names, a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith(("local[", "local")):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    base = base or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
