@@ -352,7 +352,9 @@ def test_long_lists(spark, free, flips, n):
     assert whole_or_linked(edges, members) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [1, 7, 60, 1000])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
     rng = random.Random(9)
     edges = [(rng.randint(-40, 40), rng.randint(-40, 40)) for _ in range(45)] + [(1000 + i, 1001 + i) for i in range(30)]
     got = {r["node"]: r["root"] for r in rows(components.roots(spark, spark.createDataFrame(edges, "u long, v long")))}
@@ -364,6 +366,26 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if x in linked}
 
 
+def test_contracted_chunks():
+    rng = np.random.default_rng(2)
+    for links in (1, 30, 3000):
+        u, v = rng.integers(-(1 << 63), 1 << 63, (2, 2000))[:, rng.integers(0, 2000, (2, links))[0]]
+        u, v = np.r_[u, v[:-1]], np.r_[v, v[1:]]
+        low, node = components.contracted(u, v)
+        assert (low < node).all() and len(set(node.tolist())) == len(node)
+        root = dict(zip(node.tolist(), low.tolist(), strict=True))
+        assert all(root.get(a, a) == root.get(b, b) for a, b in zip(u.tolist(), v.tolist(), strict=True))
+
+
+def test_bitmap_misses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "WORD_BITS", 6)
+    some, all_ = spark.range(0, 3000, 30).select(F.xxhash64("id").alias("h")), spark.range(3000).select("id", F.lit(1).alias("_word"))
+    bits = common.bitmap(some)
+    assert bits.count() <= 64
+    inside, outside = ({r["id"] for r in common.marked(all_, F.xxhash64("id"), bits, how).collect()} for how in ("left_semi", "left_anti"))
+    assert set(range(0, 3000, 30)) <= inside and inside | outside == set(range(3000)) and not inside & outside and len(outside) > 2000
+
+
 def test_keep_one_of_null_and_repeated_ids(spark, sf):
     rng = random.Random(3)
     a, b, c, d, e = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(5)]

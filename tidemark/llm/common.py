@@ -11,10 +11,14 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
+#: A bitmap of hashes has so many words of 64 bits at most, whatever is marked in it, so it may be broadcast.
+WORD_BITS = 18
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package wherever the driver found it, and see to a checkpoint folder.
@@ -44,6 +48,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _place(hashed: Column) -> tuple[Column, Column]:
+    """The word of a hash (long) and its bit there."""
+    bit = F.shiftrightunsigned(hashed, WORD_BITS).bitwiseAND(F.lit(63)).cast("int")
+    return hashed.bitwiseAND(F.lit((1 << WORD_BITS) - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """(_word, _bits): the bits of the hashes in the only column, as a table of at most 2**WORD_BITS rows."""
+    word, bit = _place(F.col(hashes.columns[0]))
+    return hashes.select(word.alias("_word"), bit.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+
+
+def marked(rows: DataFrame, hashed: Column, bits: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose bit is set: all those with a hash of the bitmap, and a few more; left_anti: the others. Nothing is dealt out.
+
+    A join that drops the few more is still needed; the fuller the bitmap, the less it spares that join, and no row is lost.
+    """
+    word, bit = _place(hashed)
+    return rows.join(F.broadcast(bits), (word == bits["_word"]) & (bit.bitwiseAND(bits["_bits"]) != 0), how)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of bytes other than space and \\t\\n\\v\\f\\r, A-Z lower-cased; bytes.split() cuts at just these."""
     return text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []

@@ -235,12 +235,17 @@ def one_per_component(docs: DataFrame, named: DataFrame) -> DataFrame:
     named: (doc_id, key, root) of every row, key as by text_key(). Rows that agree in doc_id and text are of one component.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "count")).alias("first")
-    keep = named.groupBy("root", "doc_id", "key").count().groupBy("root").agg(first)
-    keep = keep.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_text"), F.col("first.count").alias("_n")).checkpoint()
-    keyed = docs.withColumn("_key", text_key())
+    groups = named.groupBy("root", "doc_id", "key").count().groupBy("root").agg(first, F.sum("count").alias("rows")).checkpoint()
+    # a row alone in its component stays where it is; only those that may be of a larger one are dealt out with their texts
+    larger = common.bitmap(groups.where("rows > 1").select("root")).checkpoint()
+    members = common.bitmap(common.marked(named, F.col("root"), larger).select(F.xxhash64("doc_id", "key"))).checkpoint()
+    hashed = F.xxhash64(F.col("doc_id").cast("long"), text_key())
+    keep = groups.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_text"), F.col("first.count").alias("_n"))
+    keep = common.marked(keep, F.xxhash64("_id", "_text"), members).checkpoint()
+    keyed = common.marked(docs, hashed, members).withColumn("_key", text_key())
     same = lambda other: keyed["doc_id"].cast("long").eqNullSafe(other["_id"]) & (keyed["_key"] == other["_text"])
     once, several = keep.where("_n = 1"), keep.where("_n > 1")
     kept = keyed.join(once, same(once), "left_semi")
     if not several.isEmpty():
         kept = kept.unionByName(keyed.join(several, same(several), "left_semi").dropDuplicates(["doc_id", "_key"]))
-    return kept.drop("_key")
+    return common.marked(docs, hashed, members, "left_anti").unionByName(kept.drop("_key"))

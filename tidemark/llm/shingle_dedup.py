@@ -247,7 +247,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v): nodes with a similarity of at least SIMILAR, enough of them for the components of all candidates that have it."""
     spark = docs.sparkSession
     prints = nodes.where("print IS NOT NULL").groupBy("node").agg(F.first("print").alias("print"))
-    found = _lists(prints).mapInArrow(_candidates, "list long, u long, v long, differ long").checkpoint()
+    found = _lists(prints).drop("at").mapInArrow(_candidates, "list long, u long, v long, differ long").checkpoint()
     # u is the smaller of a pair; the likeliest of each v is verified first, the rest only where it still joins something
     pairs = found.where("u IS NOT NULL").select("u", "v", "differ").distinct()
     pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("differ", "u"))).checkpoint()
@@ -257,8 +257,9 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         """One text of each node in a pair."""
         wanted = some.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("at")
-        place = nodes.join(wanted, "node").groupBy("node").agg(least).select("node", F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key"))
-        return keyed.join(place, (keyed["key"] == place["_key"]) & keyed["doc_id"].eqNullSafe(place["_id"])).groupBy("node").agg(F.first("text").alias("text")).checkpoint()
+        place = nodes.join(wanted, "node").groupBy("node").agg(least).select("node", F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key")).checkpoint()
+        near = common.marked(keyed, F.xxhash64("doc_id", "key"), common.bitmap(place.select(F.xxhash64("_id", "_key"))))  # the other texts are not dealt out
+        return near.join(place, (near["key"] == place["_key"]) & near["doc_id"].eqNullSafe(place["_id"])).groupBy("node").agg(F.first("text").alias("text")).checkpoint()
 
     def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
         few = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= TEXT_BYTES
@@ -294,5 +295,5 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each component exactly one row stays, that with the smallest doc_id."""
     nodes = nodes_of(docs)
     root = components.roots(spark, links(docs, nodes))
-    named = nodes.select("doc_id", "key", "node").join(root, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("doc_id", "key", "node").join(root, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root")).checkpoint()
     return near_dedup.one_per_component(docs, named)
