@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
+#: Texts are long: unless the session says otherwise, an Arrow batch to or from a worker has so many bytes (Spark's default is 64 MB).
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 #: A bitmap of hashes has so many words of 64 bits at most, whatever is marked in it, so it may be broadcast.
 WORD_BITS = 18
 
@@ -26,6 +28,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     The cluster names the folder in spark.checkpoint.dir. Only where it is unset and Spark runs in this process, as in local tests, a
     temporary one is made; elsewhere executors would not share it, so that is an error.
     """
+    spark.conf.set(BATCH_BYTES, spark.conf.get(BATCH_BYTES, BATCH))
     root = str(Path(__file__).resolve().parents[2])
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
