@@ -40,7 +40,9 @@ LISTS = [pair for g in range(0, POSITIONS, GROUP) for pair in combinations(range
 #: Pairs that cut a long list. Of the positions in CUTS groups, CUTS + 1 shared ones put two into one group; the list's key has two.
 CUTS = MIN_SHARED - 3
 SUBLISTS = [pair for g in range(CUTS) for pair in combinations(range(g, POSITIONS, CUTS), 2)]
-SHORT, HUBS, ROWS, LONG, MOST = 16, 512, 4096, 4096, 2
+SHORT, HUBS, ROWS, LONG, MOST = 16, 512, 1024, 4096, 2
+#: So many pairs of fingerprints are compared at once.
+PAIRS = 1 << 15
 #: Texts of so many bytes in all are broadcast to be verified; more are dealt with the pairs.
 TEXT_BYTES, KEPT_BYTES = 16 << 20, 32 << 20
 #: So many lists that stopped early are broadcast.
@@ -80,7 +82,7 @@ def marks_of(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(axis=1, dtype=np.int64)
 
 
 def tallied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,7 +92,9 @@ def tallied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         tally += a[:, p, None] == b[None, :, p]
     near = tally >= MIN_SHARED
     i, j = np.nonzero(near)
-    near[i, j] = bits_between(a[i], b[j]) <= RADIUS
+    for at in range(0, len(i), PAIRS):
+        p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+        near[p, q] = bits_between(a[p], b[q]) <= RADIUS
     return near
 
 
