@@ -220,6 +220,28 @@ def test_features_use_the_past_only(spark):
     assert a.iloc[:81].equals(b.iloc[:81]) and not a.iloc[81:].equals(b.iloc[81:])
 
 
+def test_logarithm_of_zero(spark):
+    """A low of zero is an infinite range and a close of zero an infinite fall, as in the SQL; neither counts as missing."""
+    got = [r[0] for r in spark.createDataFrame([(0.0,), (-1.0,), (None,), (math.e,)], "p double").select(X.ln("p")).collect()]
+    assert got[0] == -math.inf and math.isnan(got[1]) and got[2:] == [None, 1.0]
+    closes = [100.0 + i % 3 for i in range(40)]
+    df = V.prepared(G.complete(bars(spark, closes, lows=[0.0 if i == 30 else c for i, c in enumerate(closes)]), "1 HOUR"))
+    rows = df.select("ts", *[c.alias(n) for n, c in V.volatility((6, 24), 24).items()]).orderBy("ts").collect()
+    assert [r["vol__parkinson_24"] == math.inf for r in rows[23:]] == [False] * 7 + [True] * 10
+    assert [r["vol__rv_vs_range_24"] == -math.inf for r in rows[23:]] == [False] * 7 + [True] * 10
+    fall = V.prepared(G.complete(bars(spark, [0.0 if i == 20 else c for i, c in enumerate(closes)]), "1 HOUR"))
+    rows = fall.select("ts", *[c.alias(n) for n, c in V.volatility((6, 24), 24).items()]).orderBy("ts").collect()
+    assert rows[20]["vol__rv_6"] == math.inf and rows[26]["vol__rv_6"] == math.inf and rows[27]["vol__rv_6"] < 0 and rows[27]["vol__ratio_6_24"] == -math.inf
+
+
+def test_cross_asset_with_an_infinite_fall(spark):
+    parts = [G.complete(bars(spark, [c, c, last], symbol=n), "1 HOUR") for n, c, last in (("A", 1.0, 0.0), ("B", 2.0, 4.0), ("C", 3.0, 3.0))]
+    g = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("lc", X.log_close())
+    got = {r["symbol"]: r for r in V.cross_asset(g, 1, "B").where(F.col("ts") == F.lit(T0 + dt.timedelta(hours=2))).collect()}
+    assert got["A"]["xa__mkt_1"] == pytest.approx(math.log(2) / 2) and got["A"]["xa__dispersion_1"] == pytest.approx(math.log(2) / math.sqrt(2))
+    assert got["A"]["xa__rel_1"] == -math.inf and got["B"]["xa__mkt_1"] == -math.inf and got["B"]["xa__rel_1"] == math.inf
+
+
 def test_gap_masks_features(spark):
     df = bars(spark, [100.0 + i for i in range(60)]).where(~F.hour("ts").between(5, 9) | (F.col("ts") > F.lit(T0 + dt.timedelta(hours=24))))
     g = V.prepared(G.complete(df, "1 HOUR"))

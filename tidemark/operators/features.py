@@ -21,9 +21,9 @@ PI2 = 2 * math.pi
 
 def prepared(grid: DataFrame) -> DataFrame:
     """The grid with log close (filled), one-row return r, its square, its size, and signed quote volume."""
-    df = grid.withColumn("lc", X.log_close()).withColumn("lc_seen", F.ln("close"))
+    df = grid.withColumn("lc", X.log_close()).withColumn("lc_seen", X.ln("close"))
     df = df.withColumn("r", F.coalesce(F.col("lc") - F.lag("lc").over(w()), F.lit(0.0)))
-    range2 = F.pow(F.ln("high") - F.ln("low"), 2.0) / (4 * math.log(2))
+    range2 = F.pow(X.ln("high") - X.ln("low"), 2.0) / (4 * math.log(2))
     return df.withColumns({"r2": F.col("r") * F.col("r"), "absr": F.abs("r"), "pk": F.coalesce(range2, F.lit(0.0)), "sqv": 2 * F.col("taker_buy_quote") - F.col("quote_volume")})
 
 
@@ -43,13 +43,13 @@ def momentum(windows: Iterable[int], day: int) -> dict[str, Column]:
 
 def volatility(windows: Iterable[int], day: int) -> dict[str, Column]:
     rv = {n: F.sqrt(X.trailing_sum("r2", n) / n) for n in windows}
-    out = {f"vol__rv_{n}": masked(F.ln(v + EPS), n) for n, v in rv.items()}
+    out = {f"vol__rv_{n}": masked(X.ln(v + EPS), n) for n, v in rv.items()}
     pk = F.sqrt(X.trailing_sum("pk", day) / day)
-    out[f"vol__parkinson_{day}"] = F.ln(pk + EPS)
+    out[f"vol__parkinson_{day}"] = X.ln(pk + EPS)
     steps = sorted(rv)
     for a, b in zip(steps, steps[1:], strict=False):
-        out[f"vol__ratio_{a}_{b}"] = F.ln((rv[a] + EPS) / (rv[b] + EPS))
-    out[f"vol__rv_vs_range_{day}"] = F.ln((rv[day] + EPS) / (pk + EPS))
+        out[f"vol__ratio_{a}_{b}"] = X.ln((rv[a] + EPS) / (rv[b] + EPS))
+    out[f"vol__rv_vs_range_{day}"] = X.ln((rv[day] + EPS) / (pk + EPS))
     return out
 
 
@@ -132,7 +132,14 @@ def cross_asset(df: DataFrame, n: int, leader: str) -> DataFrame:
     df = df.select("symbol", "ts", X.log_return(n).alias("x"))
     one = F.col("x").isNotNull().cast("int")
     at = Window.partitionBy("ts")
-    tot = {"n": F.sum(one).over(at) - one, "up": F.sum((F.col("x") > 0).cast("int")).over(at) - F.coalesce((F.col("x") > 0).cast("int"), F.lit(0)), "s": F.coalesce(F.sum("x").over(at), F.lit(0.0)) - F.coalesce("x", F.lit(0.0)), "ss": F.coalesce(F.sum(F.col("x") * F.col("x")).over(at), F.lit(0.0)) - F.coalesce(F.col("x") * F.col("x"), F.lit(0.0)), "lead": F.max(F.when(F.col("symbol") == leader, F.col("x"))).over(at)}
+
+    def others(c: Column) -> Column:
+        """Sum over the other rows of the time. Infinities are counted: the row's own can't be taken off a sum."""
+        number = F.when(F.abs(c) < math.inf, c).otherwise(0.0)
+        up, down, none = (F.count_if(t).over(at) - F.coalesce(t.cast("int"), F.lit(0)) > 0 for t in (c == math.inf, c == -math.inf, F.isnan(c)))
+        return F.when(none | (up & down), math.nan).when(up, math.inf).when(down, -math.inf).otherwise(F.sum(number).over(at) - number)
+
+    tot = {"n": F.sum(one).over(at) - one, "up": F.sum((F.col("x") > 0).cast("int")).over(at) - F.coalesce((F.col("x") > 0).cast("int"), F.lit(0)), "s": others(F.col("x")), "ss": others(F.col("x") * F.col("x")), "lead": F.max(F.when(F.col("symbol") == leader, F.col("x"))).over(at)}
     df = df.withColumns({f"_{k}": v for k, v in tot.items()})
     mean = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
     var = F.when(F.col("_n") > 1, (F.col("_ss") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1))
