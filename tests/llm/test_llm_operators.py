@@ -472,6 +472,40 @@ def test_long_list_of_strangers_and_copies(monkeypatch, short, hubs, long):
 # 7
 
 
+def test_sketches_lose_no_link():
+    """The bound is never below the similarity, and most pairs under the limit are told from links without their texts."""
+    rng = np.random.default_rng(8)
+    sets, links, kept, pairs = [], 0, 0, 0
+    for n in (1, 5, 60, 150, 400, 3000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for changed in (0.0, 0.05, 0.11, 0.12, 0.18, 0.3):
+            other = base.copy()
+            other[: int(changed * n)] = rng.integers(0, 1 << 63, int(changed * n), dtype=np.uint64)
+            sets.append(np.unique(other))
+    sketches = np.frombuffer(b"".join(map(shingle_dedup.sketch, sets)), dtype=np.uint8).reshape(len(sets), -1)
+    i, j = np.triu_indices(len(sets), 1)
+    may = shingle_dedup.possible(sketches[i], sketches[j])
+    for a, b, found in zip(i, j, may, strict=True):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        link = both >= shingle_dedup.SIMILAR * (len(sets[a]) + len(sets[b]) - both)
+        assert found or not link
+        links, kept, pairs = links + link, kept + found, pairs + 1
+    assert links >= 30 and kept < links + 0.1 * (pairs - links)
+
+
+def test_checkpoints_of_small_tables_have_few_files(spark):
+    common.prepare(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        df = spark.range(5000, numPartitions=211)
+        few, many = common.cut(df, 5000), common.cut(df, 10**7)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert few.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and many.rdd.getNumPartitions() == 211
+    assert few.count() == many.count() == 5000
+
+
 def test_language_id(spark, odd, none, sf):
     got = rows(language_id.query(spark, sf))
     assert sum(r["language"] == r["declared"] for r in got) > 0.95 * len(got) and len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()

@@ -69,10 +69,14 @@ def _least(links: DataFrame, both: bool) -> DataFrame:
     return one.join(least, "node").withColumn("least", F.least("least", "node"))
 
 
-def roots(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(node, root) for each node with a link; root: the least node reachable. links: (u, v) of longs, any order; loops and nulls are left out."""
+def roots(spark: SparkSession, links: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root) for each node with a link; root: the least node reachable. links: (u, v) of longs, any order; loops and nulls are left out.
+
+    rows: where known, a count that the links are in line with, for the files of the checkpoint.
+    """
     common.prepare(spark)
-    edges = links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint()
+    edges = links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = edges.checkpoint() if rows is None else common.cut(edges, rows)
     before, count = None, edges.count()
     if count > CHUNK:
         edges = _contracted(edges, count).distinct().checkpoint()

@@ -235,7 +235,8 @@ def one_per_component(docs: DataFrame, named: DataFrame) -> DataFrame:
     named: (doc_id, key, root) of every row, key as by text_key(). Rows that agree in doc_id and text are of one component.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "count")).alias("first")
-    groups = named.groupBy("root", "doc_id", "key").count().groupBy("root").agg(first, F.sum("count").alias("rows")).checkpoint()
+    groups = named.groupBy("root", "doc_id", "key").count().groupBy("root").agg(first, F.sum("count").alias("rows"))
+    groups = common.cut(groups, named.count())
     # a row alone in its component stays where it is; only those that may be of a larger one are dealt out with their texts
     larger = common.bitmap(groups.where("rows > 1").select("root")).checkpoint()
     members = common.bitmap(common.marked(named, F.col("root"), larger).select(F.xxhash64("doc_id", "key"))).checkpoint()

@@ -16,6 +16,10 @@ their components known, an exact pass goes over the lists in which a member was
 different components are verified too, each in the first list that it is in (where that list went to its end, it has been verified).
 So no link is lost to MOST.
 
+Before texts are fetched, sketches of the shingle sets (which of SKETCH buckets their hashes take) bound the similarity of each candidate
+pair from above: a shingle in a bucket that the other set leaves empty is not shared. A pair whose bound is below SIMILAR is dropped, so no
+link is lost. The exact pass applies this within the lists: only pairs that may be links leave them.
+
 Nulls and edge cases: a null text counts as empty; texts under five words have one shingle, the whole text, and match exactly; a null
 doc_id is one like any other, last in order; rows that repeat are copies.
 """
@@ -36,6 +40,7 @@ from tidemark.llm import common, components, near_dedup
 SHINGLE, SIMILAR, SEED = 5, 0.8, 42
 POSITIONS, GROUP = 40, 4
 MIN_SHARED, RADIUS = 6, 60
+SKETCH = 2048
 LISTS = [pair for g in range(0, POSITIONS, GROUP) for pair in combinations(range(g, g + GROUP), 2)]
 #: Pairs that cut a long list. Of the positions in CUTS groups, CUTS + 1 shared ones put two into one group; the list's key has two.
 CUTS = MIN_SHARED - 3
@@ -64,21 +69,42 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * total > len(hashes)).tobytes()
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Four bytes of their number, then a bit for each bucket that one of the hashes takes."""
+    taken = np.zeros(SKETCH, dtype=np.uint8)
+    taken[hashes % np.uint64(SKETCH)] = 1
+    return np.uint32(len(hashes)).tobytes() + np.packbits(taken).tobytes()
+
+
+def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of sketches may have a similarity of SIMILAR: no pair that has it is left out."""
+    may = np.empty(len(a), dtype=bool)
+    for at in range(0, len(a), PAIRS):
+        x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+        n, m = (np.ascontiguousarray(z[:, :4]).view(np.uint32)[:, 0].astype(np.int64) for z in (x, y))
+        x, y = x[:, 4:], y[:, 4:]
+        most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+        may[at : at + PAIRS] = most >= SIMILAR * (n + m - most)
+    return may
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, key, the hash of the words, and the fingerprint of texts that can have near copies."""
+    """doc_id, key, the hash of the words, and the fingerprint and sketch of texts that can have near copies."""
     for batch in batches:
-        nodes, prints = [], []
+        nodes, prints, sketches = [], [], []
         for _, texts in common.texts_of(batch.column(2)):
             for text in texts:
                 words = common.words_of(text)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-                prints.append(fingerprint(shingles(words)) if len(words) >= SHINGLE else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.binary())], ["doc_id", "key", "node", "print"])
+                hashes = shingles(words) if len(words) >= SHINGLE else None
+                prints.append(None if hashes is None else fingerprint(hashes))
+                sketches.append(None if hashes is None else sketch(hashes))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "key", "node", "print", "sketch"])
 
 
-def marks_of(column: pa.ChunkedArray) -> np.ndarray:
-    """Fingerprints as rows of positional bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
+def marks_of(column: pa.ChunkedArray, width: int = POSITIONS) -> np.ndarray:
+    """Fingerprints as rows of positional bytes, or sketches as rows of theirs."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
 def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -203,12 +229,24 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in near_dedup.whole_lists(batches):
-        key, node, marks, label, at = table.column(0).to_numpy(), table.column(1).to_numpy(), marks_of(table.column(2)), table.column(3).to_numpy(), table.column(4).to_numpy()
+        key, node, marks, label, at = table.column(0).to_numpy(), table.column(1).to_numpy(), marks_of(table.column(2)), table.column(3).to_numpy(), table.column(5).to_numpy()
+        sketches = marks_of(table.column(4), SKETCH // 8 + 4)
         for a, n in zip(*near_dedup.runs(key), strict=True):
-            for part in across(marks[a : a + n], label[a : a + n]):
-                own = part[first_list(marks[a + part[:, 0]], marks[a + part[:, 1]]) == at[a]]
-                u, v, _ = _pairs(node[a : a + n], marks[a : a + n], [own])
-                yield pa.RecordBatch.from_arrays([pa.array(u.copy()), pa.array(v.copy())], ["u", "v"])
+            for found in across(marks[a : a + n], label[a : a + n]):
+                for k in range(0, len(found), PAIRS):
+                    part = found[k : k + PAIRS] + a
+                    part = part[first_list(marks[part[:, 0]], marks[part[:, 1]]) == at[a]]
+                    part = part[possible(sketches[part[:, 0]], sketches[part[:, 1]])]
+                    u, v, _ = _pairs(node, marks, [part])
+                    yield pa.RecordBatch.from_arrays([pa.array(u.copy()), pa.array(v.copy())], ["u", "v"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are the sketches of a pair; the others of pairs that may be links stay as they are."""
+    for batch in batches:
+        *kept, a, b = batch.columns
+        may = possible(*(marks_of(c, SKETCH // 8 + 4) for c in (a, b)))
+        yield pa.RecordBatch.from_arrays(kept, batch.schema.names[:-2]).filter(pa.array(may))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +275,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, node, print) of every row: node is the hash of a text's words, print null for texts under five words."""
+    """(doc_id, key, node, print, sketch) of every row: node is the hash of a text's words; texts under five words have no print and sketch."""
     common.prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_dedup.text_key().alias("key"), "text").mapInArrow(_nodes, "doc_id long, key long, node long, print binary").checkpoint()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_dedup.text_key().alias("key"), "text").mapInArrow(_nodes, "doc_id long, key long, node long, print binary, sketch binary").checkpoint()
 
 
 def _lists(prints: DataFrame, *more: str, only: DataFrame | None = None) -> DataFrame:
@@ -250,20 +288,24 @@ def _lists(prints: DataFrame, *more: str, only: DataFrame | None = None) -> Data
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v): nodes with a similarity of at least SIMILAR, enough of them for the components of all candidates that have it."""
     spark = docs.sparkSession
-    prints = nodes.where("print IS NOT NULL").groupBy("node").agg(F.first("print").alias("print"))
-    found = _lists(prints).drop("at").mapInArrow(_candidates, "list long, u long, v long, differ long").checkpoint()
+    rows = nodes.count()
+    cut = lambda df: common.cut(df, rows)
+    prints = nodes.where("print IS NOT NULL").groupBy("node").agg(F.first("print").alias("print"), F.first("sketch").alias("sketch"))
+    found = cut(_lists(prints).drop("at").mapInArrow(_candidates, "list long, u long, v long, differ long"))
     # u is the smaller of a pair; the likeliest of each v is verified first, the rest only where it still joins something
     pairs = found.where("u IS NOT NULL").select("u", "v", "differ").distinct()
-    pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("differ", "u"))).checkpoint()
+    one, two = (prints.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
+    pairs = pairs.join(one, "u").join(two, "v").select("u", "v", "differ", "sketch_u", "sketch_v").mapInArrow(_possible, "u long, v long, differ long")
+    pairs = cut(pairs.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("differ", "u"))))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_dedup.text_key().alias("key"), "text")
 
     def texts_of(some: DataFrame) -> DataFrame:
         """One text of each node in a pair."""
         wanted = some.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("at")
-        place = nodes.join(wanted, "node").groupBy("node").agg(least).select("node", F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key")).checkpoint()
+        place = cut(nodes.join(wanted, "node").groupBy("node").agg(least).select("node", F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key")))
         near = common.marked(keyed, F.xxhash64("doc_id", "key"), common.bitmap(place.select(F.xxhash64("_id", "_key"))))  # the other texts are not dealt out
-        return near.join(place, (near["key"] == place["_key"]) & near["doc_id"].eqNullSafe(place["_id"])).groupBy("node").agg(F.first("text").alias("text")).checkpoint()
+        return cut(near.join(place, (near["key"] == place["_key"]) & near["doc_id"].eqNullSafe(place["_id"])).groupBy("node").agg(F.first("text").alias("text")))
 
     def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
         few = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= TEXT_BYTES
@@ -272,7 +314,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             both = some.select("u", "v").repartition("u").join(F.broadcast(two), "v").join(F.broadcast(one), "u")
         else:
             both = some.select("u", "v").join(two, "v").join(one, "u")
-        return both.select("u", "v", "a", "b").sortWithinPartitions("u").mapInArrow(_verified, "u long, v long").checkpoint()
+        return cut(both.select("u", "v", "a", "b").sortWithinPartitions("u").mapInArrow(_verified, "u long, v long"))
 
     def between(some: DataFrame, root: DataFrame) -> DataFrame:
         of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
@@ -280,24 +322,25 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     texts = texts_of(pairs)
     first = verified(pairs.where("n = 1"), texts)
-    rest = between(pairs.where("n > 1"), components.roots(spark, first)).checkpoint()
+    rest = cut(between(pairs.where("n > 1"), components.roots(spark, first, rows)))
     wanted = rest.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    good = first.unionByName(verified(rest, texts.join(wanted, "node", "left_semi").checkpoint()))
-    early = found.where("u IS NULL").select("list").distinct().checkpoint()
+    good = first.unionByName(verified(rest, cut(texts.join(wanted, "node", "left_semi"))))
+    early = found.where("u IS NULL").select("list").distinct()
+    early = cut(early)
     if early.isEmpty():
         return good
     # the exact pass: candidate pairs between components in the lists that stopped early, less those that are verified
-    root = components.roots(spark, good)
-    labelled = prints.join(root, "node", "left").select("node", "print", F.coalesce("root", "node").alias("label"))
-    again = _lists(labelled, "label", only=F.broadcast(early) if early.count() <= EARLY else early)
+    root = components.roots(spark, good, rows)
+    labelled = prints.join(root, "node", "left").select("node", "print", F.coalesce("root", "node").alias("label"), "sketch")
+    again = _lists(labelled, "label", "sketch", only=F.broadcast(early) if early.count() <= EARLY else early)
     more = again.mapInArrow(_across, "u long, v long").distinct()
-    more = more.join(pairs.where("n = 1").select("u", "v").unionByName(rest), ["u", "v"], "left_anti").checkpoint()
+    more = cut(more.join(pairs.where("n = 1").select("u", "v").unionByName(rest), ["u", "v"], "left_anti"))
     return good if more.isEmpty() else good.unionByName(verified(more, texts_of(more)))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each component exactly one row stays, that with the smallest doc_id."""
     nodes = nodes_of(docs)
-    root = components.roots(spark, links(docs, nodes))
-    named = nodes.select("doc_id", "key", "node").join(root, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root")).checkpoint()
+    root = components.roots(spark, links(docs, nodes), nodes.count())
+    named = common.cut(nodes.select("doc_id", "key", "node").join(root, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root")), nodes.count())
     return near_dedup.one_per_component(docs, named)
